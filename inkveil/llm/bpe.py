@@ -194,22 +194,33 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of docs, and ids array<int>: the tokens of text."""
+def tokens(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
+    """All columns of docs, and ids array<int>: the tokens of text; with decode also decoded, the text that the ids alone give."""
     auto = docs.sparkSession.sparkContext.broadcast(Automaton.load(path or default_path()))
     names = docs.columns
     hidden = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = auto.value
+        gc.freeze()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids = pa.array([a.encode(t) for t in part.column(part.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
-                yield pa.record_batch([*part.columns[:-1], ids], [*part.schema.names[:-1], "ids"])
+                ids = [a.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                more = [pa.array(ids, pa.list_(pa.int32()))]
+                if decode:
+                    more.append(pa.array([a.decode(x) for x in ids], pa.binary()).cast(pa.string()))
+                yield pa.record_batch([*part.columns[:-1], *more], [*part.schema.names[:-1], "ids", "decoded"][: part.num_columns - 1 + len(more)])
 
     schema = hidden.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType()))
-    return hidden.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "ids")
+    if decode:
+        schema = schema.add("decoded", T.StringType())
+    return hidden.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "ids", *["decoded"] * decode)
+
+
+def tokens_and_text(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded."""
+    return tokens(docs.select("doc_id", "text"), path, decode=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

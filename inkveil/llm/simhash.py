@@ -61,32 +61,34 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(id_of().alias("id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def _planes(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Vertical planes: row i has bit bits[i] of every value, packed into 64-bit words."""
-    lanes = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, bits]
-    pad = -len(values) % 64
-    return np.packbits(np.pad(lanes, ((0, pad), (0, 0))).T.copy(), axis=1).view(np.uint64)
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Vertical planes of fingerprints (lane, word): row i has bit i of every lane, packed into 64-bit words."""
+    lanes = np.unpackbits(np.ascontiguousarray(values, "<u8").view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(np.pad(lanes, ((0, -len(values) % 64), (0, 0))).T.copy(), axis=1).view(np.uint64)
 
 
-def within(values: np.ndarray, others: np.ndarray, radius: int, bits: np.ndarray, block: int = 1 << 12) -> np.ndarray:
-    """Lane by lane, do values and others differ in at most radius of the bits? Carry-save counters saturate above it."""
+def within(values: np.ndarray, others: np.ndarray, radius: int, block: int = 1 << 12) -> np.ndarray:
+    """Lane by lane, do fingerprints (lane, word) differ in at most radius bits? Carry-save counters saturate above it."""
     out = np.empty(len(values), bool)
     width = int(radius + 1).bit_length()
     for at in range(0, len(values), block):
-        a, b = values[at : at + block], others[at : at + block]
-        diff = _planes(a ^ b, bits)
+        diff = _planes(values[at : at + block] ^ others[at : at + block])
         counts, over = np.zeros((width, diff.shape[1]), np.uint64), np.zeros(diff.shape[1], np.uint64)
-        live = np.packbits(np.pad(np.ones(len(a), np.uint8), (0, -len(a) % 64))).view(np.uint64)
+        n = min(block, len(values) - at)
+        live = np.packbits(np.pad(np.ones(n, np.uint8), (0, -n % 64))).view(np.uint64)
         for i, carry in enumerate(diff):
-            for c in counts:  # half adders: carry moves up a plane
+            for c in counts:  # half adders: the carry moves up a plane
                 c ^= carry
                 carry = carry & ~c
-            over |= carry
-            if i >= radius:
+                if not carry.any():
+                    break
+            else:
+                over |= carry
+            if i >= radius and (i % 16 == 15 or i + 1 == len(diff)):
                 over |= _above(counts, radius)
-                if not (live & ~over).any():  # every lane of the block is beyond the radius
+                if not (live & ~over).any():  # every lane of the block is beyond the radius: abandoned
                     break
-        out[at : at + block] = np.unpackbits((~over).view(np.uint8))[: len(a)]
+        out[at : at + n] = np.unpackbits((~over).view(np.uint8))[:n]
     return out
 
 
@@ -103,17 +105,20 @@ def _above(counts: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _stars(sizes: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between members of the same bucket: in round r each member meets the one r places on."""
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ends = starts + np.repeat(sizes, sizes)
+    """Links between members of the same bucket: in round r each member meets the one r places on, unless they are joined already."""
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ends = first + np.repeat(sizes, sizes)
     label = np.arange(len(ids))
-    at, r, every = np.arange(len(ids)), 1, np.arange(64)
+    at, r = np.arange(len(ids)), 1
     while True:
         at = at[at + r < ends[at]]
+        if r & (r - 1) == 0:  # members of wholly joined buckets are done
+            whole = np.minimum.reduceat(label == first, first[sizes.cumsum() - sizes]) if len(sizes) else np.zeros(0, bool)
+            at = at[~np.repeat(whole, sizes)[at]]
         if not len(at):
             break
-        near = at[within(fps[at], fps[at + r], radius, every)]
-        # lanes of one round have distinct left members, so a union is a handful of vector steps
+        ask = at[label[at] != label[at + r]]
+        near = ask[within(fps[ask], fps[ask + r], radius)] if len(ask) else ask
         for i, j in zip(near.tolist(), (near + r).tolist()):
             while label[i] != i:
                 label[i] = label[label[i]]
@@ -123,9 +128,9 @@ def _stars(sizes: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) ->
                 j = label[j]
             if i != j:
                 label[max(i, j)] = min(i, j)
+        while len(near) and (label != label[label]).any():
+            label = label[label]
         r += 1
-    while (label != label[label]).any():
-        label = label[label]
     linked = np.flatnonzero(label != np.arange(len(ids)))
     return ids[linked], ids[label[linked]]
 
@@ -136,23 +141,23 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     for t, gone in enumerate(combinations(range(8), radius)):
         mask = _signed(~sum(0xFF << 8 * g for g in gone) & (1 << 64) - 1)
         keys.append(F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    buckets = (
-        distinct.select("id", "fp", F.explode(F.array(*keys)).alias("k"))
-        .groupBy("k.t", "k.key")
-        .agg(F.collect_list("id").alias("ids"), F.collect_list("fp").alias("fps"))
-        .where(F.size("ids") > 1)
-        .select("ids", "fps")
-    )
+    keyed = distinct.select("id", F.array("fp").alias("fp"), F.explode(F.array(*keys)).alias("k"))
+    return _bucket_links(keyed, radius)
+
+
+def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b) for keyed rows (id, fp array<long>, k): bit-sliced comparison inside every bucket k, whose links leave as stars."""
+    buckets = keyed.groupBy("k").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("fp")).alias("fps")).where(F.size("ids") > 1).select("ids", "fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, fps = b.column(0), b.column(1)
-            sizes = np.diff(ids.offsets.to_numpy())
+            sizes, begin = np.diff(ids.offsets.to_numpy()), ids.offsets.to_numpy()[:-1] - ids.offsets.to_numpy()[0]
             order = np.argsort(-sizes, kind="stable")  # buckets of one size meet in the same rounds
-            starts = np.repeat((ids.offsets.to_numpy()[:-1] - ids.offsets.to_numpy()[0])[order], sizes[order])
-            within_bucket = np.arange(len(starts)) - np.repeat(np.cumsum(sizes[order]) - sizes[order], sizes[order])
-            at = starts + within_bucket
-            a, z = _stars(sizes[order], ids.flatten().to_numpy()[at], fps.flatten().to_numpy().view(np.uint64)[at], radius)
+            sizes = sizes[order]
+            at = np.repeat(begin[order], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            bits = fps.flatten().to_numpy().view(np.uint64).reshape(len(ids.flatten()), -1)
+            a, z = _stars(sizes, ids.flatten().to_numpy()[at], bits[at], radius)
             pairs = np.unique(np.stack([np.maximum(a, z), np.minimum(a, z)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -176,9 +181,66 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
+WORDS, BANDS, ROWS = 8, 16, 3
+MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def _mixed(h: np.ndarray, i: int) -> np.ndarray:
+    """The i-th hash function of already hashed values."""
+    x = (h + np.uint64(i * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * MIX[i % len(MIX)]
+    return (x ^ x >> np.uint64(29)) * MIX[(i + 3) % len(MIX)]
+
+
+def sketch(text: bytes | None, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of the set of a text's shingles: a hash of the whole set, a 512-bit SimHash, and 16 band keys of 3 minima each."""
+    words = (text or b"").translate(LOWER).split()
+    if len(words) < width:
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    else:
+        h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(width)))), repeat(SEED)), np.uint64, len(words) - width + 1))
+    ones = np.zeros(64 * WORDS, np.int64)
+    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), 1 << 13):
+        part = h[at : at + (1 << 13)]
+        wide = np.stack([_mixed(part, i) for i in range(WORDS)], axis=1)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        low = np.minimum(low, np.array([_mixed(part, WORDS + i).min() for i in range(len(low))], np.uint64))
+    bands = low.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(bands)]
+    return xxhash.xxh64_intdigest(h.tobytes(), 1), np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64), np.array(keys, np.uint64)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component): groups over links of shingle-set similarity of `similarity` or more, as 512-bit SimHashes measure it.
+
+    Documents with the same set are one row from the start. Others meet if one of 16 bands (3 minima each) agrees, which two
+    of similarity 0.8 miss once in 10**5, and link if their fingerprints differ in no more bits than that similarity gives on average
+    (angle over pi of sets of like size).
+    """
+    radius = int(64 * WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    scratch = Scratch(docs.sparkSession, "similar")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                rows = [sketch(t, width) for t in part.column(1).to_pylist()]
+                sets = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
+                lists = [pa.array([r[i].view(np.int64) for r in rows], pa.list_(pa.int64())) for i in (1, 2)]
+                yield pa.record_batch([part.column(0), sets, *lists], ["id", "s", "fp", "bands"])
+
+    rows = docs.select(id_of().alias("id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, s long, fp array<long>, bands array<long>")
+    rows = scratch.keep(rows)
+    ids = rows.groupBy("s").agg(F.min("id").alias("id"))
+    distinct = rows.join(ids, ["s", "id"], "left_semi").dropDuplicates(["s", "id"])
+    comp = components(_bucket_links(distinct.select("id", "fp", F.explode("bands").alias("k")), radius), scratch)
+    by_set = ids.join(comp, "id", "left").select("s", F.coalesce("component", "id").alias("component"))
+    return rows.select("id", "s").join(by_set, "s").select("id", "component")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents whose id is the smallest of their group; of rows that repeat an id, the one of least text hash."""
-    groups = near_groups(docs, width, radius)
+    groups = similar_groups(docs, width, similarity)
     first = groups.where("id = component").select("id").distinct()
     order = Window.partitionBy("_id").orderBy(F.xxhash64("text"), F.col("text"))
     kept = docs.withColumn("_id", id_of()).join(first, F.col("_id") == first["id"], "left_semi")
