@@ -1,4 +1,164 @@
-"""Queries of the engine's own operators, and their SQL counterparts."""
+"""Queries of the engine's own operators over the tables, and DuckDB SQL for those that SQL can express."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkveil.functions import keyed
+from inkveil.operators import engine, spans
+from inkveil.settings import Settings
+
+EMAIL = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}"
+DIGITS = r"[0-9]{12,19}"
+TICKET = Settings(seed="catalog")
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def redact_documents(spark, sf_dir):
+    found = engine.detect(_t(spark, sf_dir, "documents").select("doc_id", "text"), TICKET)
+    return found.select("doc_id", F.size("entities").alias("n_entities"), "redacted").where("n_entities > 0")
+
+
+def detect_entities(spark, sf_dir):
+    return engine.entities(engine.detect(_t(spark, sf_dir, "documents").select("doc_id", "text"), TICKET, redact=False))
+
+
+def counts_by_type(spark, sf_dir):
+    return engine.counts(engine.detect(_t(spark, sf_dir, "documents").select("doc_id", "text"), TICKET, redact=False))
+
+
+def surrogate_mapping(spark, sf_dir):
+    return engine.mapping(engine.detect(_t(spark, sf_dir, "documents").select("doc_id", "text"), TICKET))
+
+
+def redact_conversations(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n\n").alias("text"))
+    found = engine.detect(turns, TICKET)
+    return found.select("conv_id", F.size("entities").alias("n_entities"), "redacted")
+
+
+def _spans_of(spark, sf_dir, pattern, table="documents", key="doc_id", text="text", guard=None):
+    d = _t(spark, sf_dir, table).select(key, F.col(text).alias("t"))
+    if guard:
+        d = d.where(F.col("t").contains(guard))
+    return d.select(key, F.explode(spans.matches("t", pattern)).alias("m")).select(key, "m.start", "m.end", F.col("m.text").alias("value"))
+
+
+def email_spans(spark, sf_dir):
+    return _spans_of(spark, sf_dir, EMAIL, guard="@").select("doc_id", "value", F.count("*").over(Window.partitionBy("doc_id", "value")).alias("times")).distinct()
+
+
+def luhn_numbers(spark, sf_dir):
+    runs = _spans_of(spark, sf_dir, r"[0-9]+").where(F.length("value") == 16)
+    return runs.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).withColumn("valid", F.call_function("luhn_check", F.col("value")))
+
+
+def verhoeff_numbers(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").select((F.lit(200000000000) + F.col("l_orderkey") * 1000 + F.col("l_linenumber")).cast("string").alias("number"))
+    return d.groupBy("number").agg(F.count("*").alias("n")).withColumn("valid", keyed.verhoeff_ok(F.col("number")))
+
+
+def hmac_draws(spark, sf_dir):
+    d = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("SSN|"), F.col("c_custkey").cast("string")).alias("k"))
+    return d.select("c_custkey", *(keyed.draw("catalog", F.col("k"), i).alias(f"draw{i}") for i in (0, 7, 8)))
+
+
+def segment_starts(spark, sf_dir):
+    return spans.segment_starts(_t(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "start")
+
+
+def bucketed_spans(spark, sf_dir):
+    """Marks every 500 characters of a conversation, as spans of 3 characters of the turn that they begin in."""
+    starts = spans.segment_starts(_t(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "text", "start")
+    size = starts.groupBy("conv_id").agg(F.max(F.col("start") + F.length("text")).alias("size"))
+    marks = size.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size"), F.lit(500).cast("long"))).alias("start")).withColumn("end", F.col("start") + 3)
+    return spans.bucket(marks, starts, "conv_id").select("conv_id", "turn", "start", "end")
+
+
+def _event_spans(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select("user_id", (F.col("event_id") * 7919 % 5000).alias("start"), (F.col("event_id") * 7919 % 5000 + 1 + F.col("event_id") * 31 % 40).alias("end"))
+
+
+def merged_islands(spark, sf_dir):
+    return spans.islands(_event_spans(spark, sf_dir), "user_id")
+
+
+def deduped_spans(spark, sf_dir):
+    """The best of each (user, start): greatest length wins."""
+    return _event_spans(spark, sf_dir).groupBy("user_id", "start").agg(F.max("end").alias("end"), F.count("*").alias("n"))
+
+
+def resolved_spans(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("user_id", F.struct((F.col("event_id") * 31 % 40 * 1000000 + F.col("event_id") % 1000000).alias("rank"), (F.col("event_id") * 7919 % 5000).alias("start"), (F.col("event_id") * 7919 % 5000 + 1 + F.col("event_id") * 31 % 40).alias("end")).alias("s"))
+    g = rows.groupBy("user_id").agg(spans.greedy(F.collect_list("s")).alias("kept"))
+    return g.select("user_id", F.explode("kept").alias("s")).select("user_id", "s.start", "s.end")
+
+
+def url_hosts(spark, sf_dir):
+    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#:]*)", 1))
+    return _t(spark, sf_dir, "pages").groupBy(F.regexp_replace(host, r"^www\.", "").alias("host")).agg(F.count("*").alias("pages")).withColumn("public", F.col("host").endswith(".gov") | F.col("host").endswith(".int"))
+
+
+def context_tokens(spark, sf_dir):
+    """Hexadecimal runs with the word token in the 20 characters before them."""
+    s = _spans_of(spark, sf_dir, r"[0-9a-f]{40}", guard="token")
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    j = s.join(d, "doc_id").where(F.lower(F.substring(F.col("text"), F.greatest(F.col("start") - 19, F.lit(1)), F.least(F.col("start"), F.lit(20)))).contains("token"))
+    return j.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("value").alias("least"))
+
+
+def identifiers_by_quality(spark, sf_dir):
+    """Documents with a mailbox, by label."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").contains("@").cast("int").alias("has"))
+    return d.join(_t(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.sum("has").alias("with_at"))
+
+
+def at_signs_rollup(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("lang", "source", (F.length("text") - F.length(F.replace("text", F.lit("@"), F.lit("")))).alias("n"))
+    return d.rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n").alias("at_signs"))
+
+
+def top_documents(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("numbers"))
+    return d.orderBy(F.desc("numbers"), "doc_id").limit(20)
+
+
+def anti_joined_benchmark(spark, sf_dir):
+    """Benchmark items without any number: nothing to find there."""
+    return _t(spark, sf_dir, "benchmark").where(~F.col("text").rlike("[0-9]")).select("item_id", F.length("text").alias("size"))
+
+
+QUERIES = {f.__name__: f for f in (redact_documents, detect_entities, counts_by_type, surrogate_mapping, redact_conversations, email_spans, luhn_numbers, verhoeff_numbers, hmac_draws, segment_starts, bucketed_spans, merged_islands, deduped_spans, resolved_spans, url_hosts, context_tokens, identifiers_by_quality, at_signs_rollup, top_documents, anti_joined_benchmark)}
+
+_INNER, _OUTER = keyed.pads("catalog")
+_EVENTS = "SELECT user_id, event_id * 7919 % 5000 AS s, event_id * 7919 % 5000 + 1 + event_id * 31 % 40 AS e FROM events"
+_DRAW = lambda i: f"('0x' || substr(sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode('SSN|' || c_custkey || '|{i // 8}')))), {1 + 8 * (i % 8)}, 8))::BIGINT AS draw{i}"
+SQL = {
+    "email_spans": f"SELECT doc_id, value, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents) GROUP BY ALL",
+    "luhn_numbers": """
+      WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS value FROM documents),
+      kinds AS (SELECT value, count(*) AS n, min(doc_id) AS first_doc FROM runs WHERE length(value) = 16 GROUP BY value)
+      SELECT value, n, first_doc, list_sum([CASE WHEN i % 2 = 0 THEN substr(value, i, 1)::INT ELSE (2 * substr(value, i, 1)::INT) // 10 + (2 * substr(value, i, 1)::INT) % 10 END FOR i IN range(1, 17)]) % 10 = 0 AS valid
+      FROM kinds""",
+    "hmac_draws": "SELECT c_custkey, " + ", ".join(map(_DRAW, (0, 7, 8))) + " FROM customer",
+    "segment_starts": "SELECT conv_id, turn, coalesce(sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations",
+    "bucketed_spans": """
+      WITH s AS (SELECT conv_id, turn, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, length(text) AS n FROM conversations),
+      m AS (SELECT conv_id, unnest(range(0, max(a + n) + 1, 500)) AS p FROM s GROUP BY conv_id)
+      SELECT conv_id, turn, p - a AS start, p - a + 3 AS "end" FROM m JOIN s USING (conv_id) WHERE p >= a AND p < a + n AND p + 3 <= a + n""",
+    "merged_islands": f"""
+      WITH x AS ({_EVENTS}), y AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM x),
+      z AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM y)
+      SELECT user_id, min(s) AS start, max(e) AS "end", count(*) AS n FROM z GROUP BY user_id, k""",
+    "deduped_spans": f'SELECT user_id, s AS start, max(e) AS "end", count(*) AS n FROM ({_EVENTS}) GROUP BY user_id, s',
+    "url_hosts": "SELECT *, host LIKE '%.gov' OR host LIKE '%.int' AS public FROM (SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '^www\\.', '') AS host, count(*) AS pages FROM pages GROUP BY 1)",
+    "identifiers_by_quality": "SELECT quality, toxic, count(*) AS docs, sum(contains(text, '@')::INT)::BIGINT AS with_at FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
+    "at_signs_rollup": "SELECT lang, source, count(*) AS docs, sum(length(text) - length(replace(text, '@', '')))::BIGINT AS at_signs FROM documents GROUP BY ROLLUP (lang, source)",
+    "top_documents": "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers FROM documents ORDER BY numbers DESC, doc_id LIMIT 20",
+    "anti_joined_benchmark": "SELECT item_id, length(text) AS size FROM benchmark WHERE NOT regexp_matches(text, '[0-9]')",
+}
