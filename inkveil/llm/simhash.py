@@ -55,8 +55,10 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(t, width)) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                fps = [_signed(fingerprint(t, width)) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     return docs.select(id_of().alias("id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
 
@@ -222,8 +224,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 rows = [sketch(t, width) for t in part.column(1).to_pylist()]
                 sets = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
                 lists = [pa.array([r[i].view(np.int64) for r in rows], pa.list_(pa.int64())) for i in (1, 2)]
