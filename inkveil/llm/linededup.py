@@ -33,6 +33,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 SHARD_KEYS = 1 << 15
 KICKS = 500
+SLICE = 200  # rows whose lines are in a worker's memory at once
 
 
 class CuckooFilter:
@@ -121,16 +122,18 @@ def doc_keys(docs: DataFrame, min_chars: int = 1, with_id: bool = True) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys: list[bytes] = []
-            sizes = []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                own = {k for k in line_keys(t) if _long_enough(k, min_chars)}
-                keys += own
-                sizes.append(len(own))
-            hi, lo = _hashes(keys)
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            columns = [b.column(0).take(at)] * with_id + [pa.array(hi), pa.array(lo)]
-            yield pa.record_batch(columns, ["doc_id"] * with_id + ["hi", "lo"])
+            for first in range(0, b.num_rows, SLICE):
+                part = b.slice(first, SLICE)
+                keys: list[bytes] = []
+                sizes = []
+                for t in part.column(part.num_columns - 1).to_pylist():
+                    own = {k for k in line_keys(t) if _long_enough(k, min_chars)}
+                    keys += own
+                    sizes.append(len(own))
+                hi, lo = _hashes(keys)
+                at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                columns = [part.column(0).take(at)] * with_id + [pa.array(hi), pa.array(lo)]
+                yield pa.record_batch(columns, ["doc_id"] * with_id + ["hi", "lo"])
 
     own = [F.col("doc_id").cast("long").alias("doc_id")] * with_id
     return docs.select(*own, _text(docs).alias("text")).mapInArrow(run, "doc_id long, " * with_id + "hi long, lo long")
@@ -213,8 +216,8 @@ def clean(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_byt
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = HotKeys(*known.value)
             for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    part = b.slice(at, 1000)
+                for at in range(0, b.num_rows, SLICE):
+                    part = b.slice(at, SLICE)
                     rows = [_clean(t, test, min_chars) for t in part.column(part.num_columns - 1).to_pylist()]
                     yield _rows(part, rows)
 
