@@ -17,7 +17,6 @@ give repeated results; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -36,8 +35,8 @@ from pyspark.sql import types as T
 from inkveil.llm.common import table
 
 NEVER = 1 << 60
-WORDS_KEPT = 200_000
-ARCS_KEPT = 400_000
+WORDS_KEPT = 100_000
+ARCS_KEPT = 150_000
 #: Unicode's White_Space, which the split pattern's \s means.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: Fixed value: the byte-level split pattern.
@@ -190,6 +189,17 @@ class Automaton:
         return b"".join(map(self.label.__getitem__, ids))
 
 
+_live: list[Automaton] = []
+
+
+def _current(a: Automaton) -> Automaton:
+    """a, after letting go of the automaton that this worker had before: one at a time is in memory."""
+    if _live and _live[0] is not a:
+        _live[0].__dict__.clear()
+    _live[:] = [a]
+    return a
+
+
 def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -201,8 +211,7 @@ def tokens(docs: DataFrame, path: str | None = None, decode: bool = False) -> Da
     hidden = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = auto.value
-        gc.freeze()
+        a = _current(auto.value)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -228,8 +237,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     auto = docs.sparkSession.sparkContext.broadcast(Automaton.load(path or default_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = auto.value
-        gc.freeze()  # the tables stay for good: no need to go through them again and again
+        a = _current(auto.value)
         names = [str(i) for i in range(len(a.label))]
         for b in batches:
             n, ids_hash, text_hash = [], [], []
