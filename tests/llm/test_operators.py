@@ -1,0 +1,149 @@
+"""Small-fixture tests against brute force: odd rows (nulls, empty, repeats, clashing columns) and every operator."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkveil.llm import bpe, decontam, langid, licenses, linededup, pii, quality, secrets, simhash, syncmers
+
+TEXTS = [
+    (1, None),
+    (2, ""),
+    (3, "Shared line\nReleased under the MIT License.\ntoken = \"0123456789abcdef01234567\""),
+    (4, "  shared LINE \nanother text with several words that goes on for a while \U0001f600"),
+    (4, "  shared LINE \nanother text with several words that goes on for a while \U0001f600"),
+    (None, "mail a.b@example.com card 4111 1111 1111 1111 ip 97.51.17.173"),
+    (7, "x" * 5000),
+]
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in TEXTS], "doc_id long, text string, lang string, source string, n_chars long, score int")
+
+
+@pytest.fixture
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture
+def benchmark(spark):
+    return spark.createDataFrame([(1, "with several words"), (2, None), (3, ""), (4, "another text with several words that goes on for a while yes")], "item_id long, text string")
+
+
+def test_simhash_links_as_brute_force(docs):
+    rows = simhash.near_duplicates(docs).collect()
+    fps = [(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in rows]
+    assert len(rows) == len(TEXTS)
+    for i, f, c in fps:
+        near = [j for j, g, _ in fps if j is not None and (f ^ g).bit_count() <= 2]
+        assert c == (min(near) if near else None)
+
+
+def test_keep_one_keeps_one_of_each(docs):
+    kept = simhash.keep_one(docs).select("doc_id").collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "3", "4", "None", "7"])
+
+
+def test_line_dedup_and_undo(spark, docs):
+    got = {(r.doc_id, r.n_dropped, r.kept_sha256) for r in linededup.line_dedup(docs, min_docs=3).collect()}
+    assert got == {(r.doc_id, r.n_dropped, r.kept_sha256) for r in linededup.line_dedup(docs, min_docs=3, broadcast_bytes=0).collect()}
+    assert {(i, n) for i, n, _ in got} == {(1, 0), (2, 0), (3, 1), (4, 1), (None, 0), (7, 0)}
+    ledger = linededup.LineLedger.build(docs, min_docs=2)
+    state = lambda x: sorted(map(tuple, x.counts.collect()))
+    more = spark.createDataFrame([(100, "shared line\nnew")], "doc_id long, text string")
+    grown = ledger.update(added=more)
+    assert state(grown) != state(ledger)
+    assert state(grown.update(removed_ids=more.select("doc_id"))) == state(ledger)
+
+
+def test_decontamination(docs, benchmark):
+    by = {r.doc_id: r for r in decontam.decontaminate(docs, benchmark).collect()}
+    assert by[4].n_items == 2 and by[4].contaminated and not by[3].contaminated and by[1].n_words == 0
+    assert by[4].items_sha256 == hashlib.sha256(b"1,4").hexdigest()
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, benchmark).select("doc_id").collect()} == {1, 2, 3, None, 7}
+
+
+def test_bpe_round_trip(docs):
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(bpe.default_path())
+    for r in bpe.round_trip(docs).join(docs.dropDuplicates(["doc_id"]), "doc_id").collect():
+        ids = known.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("text", ["", "a" * 999, "<|endoftext|>x<|endoftext|>", " \x1c\x85 　b", "日本語\U0001f600 'll's", "ⅷ²ª\n\n x "])
+def test_bpe_odd_texts(text):
+    from tokenizers import Tokenizer
+
+    a = bpe.Automaton.load(bpe.default_path())
+    ids = a.encode(text)
+    assert ids == Tokenizer.from_file(bpe.default_path()).encode(text, add_special_tokens=False).ids
+    assert a.decode(ids).decode() == text
+
+
+def test_quality_scores_all(docs, labels):
+    rows = quality.classify(docs, labels).collect()
+    assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
+    assert quality.keep_good(docs, labels, threshold=0.0).columns == docs.columns
+
+
+def test_secrets(docs):
+    by = {r.doc_id: r for r in secrets.secret_scan(docs).collect()}
+    text = TEXTS[2][1]
+    m = re.search(r"token = \"([0-9a-f]+)", text)
+    want = f"assign:{m.start()}:{m.end()},hex:{m.start(1)}:{m.end(1)}"
+    assert by[3].spans == want and by[3].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert by[1].n_hex == 0 and by[1].spans == ""
+
+
+def test_secret_ledger_skips_seen_blobs(docs):
+    versions = secrets.address(docs.select("text"))
+    first = secrets.scan(versions)
+    assert secrets.scan(versions, first).count() == 0
+
+
+def test_licenses(docs):
+    by = {r.doc_id: r for r in licenses.licenses(docs).collect()}
+    assert (by[3].n_base, by[3].base_labels, by[3].first_word, by[3].last_word) == (1, "mit", 5, 5)
+    assert by[1].n_words == 0 and by[2].labels == "" and by[7].n_words == 1
+
+
+def test_syncmers_next_text(docs):
+    rows = syncmers.fingerprints(docs).collect()
+    order = [(7, "x" * 5000), (4, TEXTS[3][1]), (4, TEXTS[3][1]), (3, TEXTS[2][1]), (2, ""), (1, ""), (None, TEXTS[5][1])]
+    want = sorted((str(i), hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()) for (i, t), (_, n) in zip(order, order[1:] + order[:1]))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in rows) == want
+    assert len({r.fingerprint for r in rows if r.doc_id == 4}) == 1
+
+
+def test_pii_goes_and_comes_back(docs):
+    there = pii.pseudonymize(docs)
+    row = there.where("doc_id is null").first()
+    assert [f["kind"] for f in row.found] == ["email", "card", "ip"] and "4111 1111" not in row.text
+    back = pii.pseudonymize(there.drop("found"), back=True).where("doc_id is null").first()
+    assert back.text.endswith("card 4111 1111 1111 1111 ip 97.51.17.173")
+
+
+def test_langid(spark):
+    train = spark.createDataFrame([(i, f"the and of that with {i}", "en") for i in range(5)] + [(10 + i, f"und der die das nicht {i}", "de") for i in range(5)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "http://a.de/x", "<html lang=de><p>und die nicht das</p>"), (2, None, None), (None, "odd", "<p>the that of with and</p>")], "page_id long, url string, html string")
+    by = {r.page_id: r for r in langid.identify(pages, train).collect()}
+    assert by[1].lang == "de" and by[None].lang == "en" and by[2].text_lang is None
+
+
+@pytest.mark.parametrize("f", [simhash.near_duplicates, simhash.keep_one, linededup.line_dedup, bpe.round_trip, secrets.secret_scan, licenses.licenses, syncmers.fingerprints, pii.pii])
+def test_empty_tables(docs, f):
+    assert f(docs.where(F.lit(False))).count() == 0
+
+
+def test_empty_tables_of_two(docs, labels, benchmark):
+    none = docs.where(F.lit(False))
+    assert quality.classify(none, labels).count() == 0 and decontam.decontaminate(none, benchmark).count() == 0
+    assert decontam.decontaminate(docs, benchmark.where(F.lit(False))).where("contaminated").count() == 0
+    assert quality.classify(docs, labels.where(F.lit(False))).where("score <> 0.5").count() == 0
