@@ -119,12 +119,13 @@ def _next_rows(rows: DataFrame, carry: list[str], tie: list[Column]) -> DataFram
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = docs.select(id_of().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("a", anchors(F.col("text")))
-    d = _next_rows(rows, ["text", "a"], [F.xxhash64("text"), F.col("text")])
+    # Only texts are dealt out: anchors are many small numbers, which cost more to move than to find again.
+    d = _next_rows(rows, ["text"], [F.xxhash64("text"), F.col("text")])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    d = d.select("_id", n.cast("long").alias("n_chars"), "a", F.col("next.a").alias("b"), F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next.text"), F.lit(1), third)).alias("edited"))
-    d = d.withColumn("e", anchors(F.col("edited")))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next.text"), F.lit(1), third))
+    d = d.select("_id", "text", n.cast("long").alias("n_chars"), F.col("next.text").alias("following"), edited.alias("edited"))
+    d = d.select("_id", "n_chars", "edited", anchors(F.col("text")).alias("a"), hashes(anchors(F.col("following"))).alias("b"), anchors(F.col("edited")).alias("e"))
     return d.select(
         id_back("_id").alias("doc_id"),
         "n_chars",
@@ -132,7 +133,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("a")).alias("fingerprint"),
         fingerprint(F.col("e")).alias("edited_fingerprint"),
         likeness(hashes(F.col("a")), hashes(F.col("e"))).alias("near_edited"),
-        likeness(hashes(F.col("a")), hashes(F.col("b"))).alias("near_next"),
+        likeness(hashes(F.col("a")), F.col("b")).alias("near_next"),
     )
 
 
