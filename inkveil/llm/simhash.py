@@ -29,6 +29,9 @@ from inkveil.llm.common import LOWER, Scratch, components, id_back, id_of, table
 
 SEED = 42
 CHUNK = 1 << 16
+LANES = 64
+LARGE = 16  # buckets of more members are compared word by word
+BLOCKS = 1 << 13  # blocks of lanes at once: 64 KB for each plane of a counter
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -137,6 +140,83 @@ def _stars(sizes: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) ->
     return ids[linked], ids[label[linked]]
 
 
+def _near_lanes(planes: np.ndarray, flips: np.ndarray, query: np.ndarray, word: np.ndarray, live: np.ndarray, radius: int) -> np.ndarray:
+    """The lanes among `live` within the radius of their query, for blocks of 64 lanes (planes[:, word]) each met by one query.
+
+    flips (bit, query) has all bits set where the query has the bit. Blocks without a lane in reach are abandoned on the way."""
+    out, at = np.zeros(len(word), np.uint64), np.arange(len(word))
+    counts, over = np.zeros((int(radius + 1).bit_length(), len(word)), np.uint64), ~live
+    for i in range(len(planes)):
+        carry = planes[i][word] ^ flips[i][query]
+        for c in counts:
+            c ^= carry
+            carry = carry & ~c
+            if not carry.any():
+                break
+        else:
+            over |= carry
+        if i >= radius and i % 16 == 15:
+            stay = np.flatnonzero(~(over | _above(counts, radius)))
+            if len(stay) < len(at) // 2:
+                at, query, word, over, counts = at[stay], query[stay], word[stay], over[stay], counts[:, stay]
+                if not len(at):
+                    return out
+    out[at] = ~(over | _above(counts, radius))
+    return out
+
+
+def _large_stars(sizes: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _stars, for buckets of many members: planes are made once, and a member meets 64 others of its bucket in a word.
+
+    Only members that are not joined to it already count as lanes in question, and wholly joined buckets are done."""
+    n_words = -(-sizes // LANES)
+    first = np.repeat((np.cumsum(n_words) - n_words) * LANES - np.cumsum(sizes) + sizes, sizes) + np.arange(len(ids))
+    padded = np.zeros((int(n_words.sum()) * LANES, fps.shape[1]), np.uint64)
+    padded[first] = fps
+    bucket, there = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(padded), bool)
+    there[first] = True
+    begin = (np.cumsum(n_words) - n_words).astype(np.int64)
+    planes, label, parts = _planes(padded), np.arange(len(padded)), sizes.copy()
+    order = np.lexsort((bucket, first - begin[bucket] * LANES))  # first members of all buckets first
+    lane, bucket = first[order], bucket[order]
+    cost = np.cumsum(n_words[bucket] - (lane // LANES - begin[bucket]))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(cost, np.arange(BLOCKS, int(cost[-1]) if len(cost) else 0, BLOCKS), side="right"), [len(lane)]]))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        q = lane[lo:hi][parts[bucket[lo:hi]] > 1]
+        b = bucket[lo:hi][parts[bucket[lo:hi]] > 1]
+        if not len(q):
+            continue
+        n = begin[b] + n_words[b] - q // LANES
+        query = np.repeat(np.arange(len(q)), n)
+        word = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(q // LANES, n)
+        lanes = word[:, None] * LANES + np.arange(LANES)
+        mine = q[query][:, None]
+        live = np.packbits(there[lanes] & (lanes > mine) & (label[lanes] != label[mine]), axis=1).view(np.uint64).ravel()
+        some = np.flatnonzero(live)
+        query, word = query[some], word[some]
+        flips = np.where(np.unpackbits(padded[q].view(np.uint8), axis=1, bitorder="little").T, ~np.uint64(0), np.uint64(0))
+        near = _near_lanes(planes, flips, query, word, live[some], radius)
+        hit = np.flatnonzero(near)
+        if not len(hit):
+            continue
+        row, at = np.nonzero(np.unpackbits(near[hit].view(np.uint8).reshape(-1, 8), axis=1))
+        row, at = query[hit[row]], word[hit[row]] * LANES + at
+        ends = np.flatnonzero(np.r_[np.diff(row) > 0, True]) + 1
+        for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+            own = int(b[row[i]])
+            span = slice(int(begin[own]) * LANES, int(begin[own] + n_words[own]) * LANES)
+            joined = np.unique(np.r_[label[q[row[i]]], label[at[i:j]]])
+            if len(joined) > 1:
+                to = np.arange(span.start, span.stop)
+                to[joined - span.start] = joined[0]
+                label[span] = to[label[span] - span.start]
+                parts[own] -= len(joined) - 1
+    place = np.zeros(len(padded), np.int64)
+    place[first] = np.arange(len(ids))
+    linked = np.flatnonzero(label[first] != first)
+    return ids[linked], ids[place[label[first[linked]]]]
+
+
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) that join all fingerprints within the radius, directly or through others of their bucket."""
     keys = []
@@ -159,7 +239,10 @@ def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
             sizes = sizes[order]
             at = np.repeat(begin[order], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             bits = fps.flatten().to_numpy().view(np.uint64).reshape(len(ids.flatten()), -1)
-            a, z = _stars(sizes, ids.flatten().to_numpy()[at], bits[at], radius)
+            own, large = ids.flatten().to_numpy()[at], int((sizes > LARGE).sum())  # sizes descend
+            cut = int(sizes[:large].sum())
+            both = _large_stars(sizes[:large], own[:cut], bits[at[:cut]], radius), _stars(sizes[large:], own[cut:], bits[at[cut:]], radius)
+            a, z = (np.concatenate(x) for x in zip(*both))
             pairs = np.unique(np.stack([np.maximum(a, z), np.minimum(a, z)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 

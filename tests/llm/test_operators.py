@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,23 @@ def test_keep_one_keeps_one_of_each(docs):
     assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "3", "4", "None", "7"])
 
 
+@pytest.mark.parametrize(("width", "radius", "flipped"), [(1, 2, 0.02), (8, 77, 0.09), (8, 77, 0.5)])
+def test_buckets_of_many_as_brute_force(width, radius, flipped):
+    rng = np.random.default_rng(7)
+    sizes = np.array([130, 65, 64, 17, 1])
+    n = int(sizes.sum())
+    fps = rng.integers(0, 2**63, (6, width), dtype=np.uint64)[rng.integers(0, 6, n)] ^ np.packbits(rng.random((n, 64 * width)) < flipped, axis=1).view(np.uint64)
+    want, end = np.arange(n), np.repeat(np.cumsum(sizes), sizes)
+    for i in range(n):
+        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 : end[i]]).sum(axis=1) <= radius) + i + 1:
+            want[want == max(want[i], want[j])] = min(want[i], want[j])
+    for f in (simhash._large_stars, simhash._stars):
+        got = np.arange(n)
+        for a, b in zip(*f(sizes, np.arange(n), fps, radius)):
+            got[got == max(got[a], got[b])] = min(got[a], got[b])
+        assert got.tolist() == want.tolist()
+
+
 def test_line_dedup_and_undo(spark, docs):
     got = {(r.doc_id, r.n_dropped, r.kept_sha256) for r in linededup.line_dedup(docs, min_docs=3).collect()}
     assert got == {(r.doc_id, r.n_dropped, r.kept_sha256) for r in linededup.line_dedup(docs, min_docs=3, broadcast_bytes=0).collect()}
