@@ -32,6 +32,15 @@ def _set(run: ET.Element, text: str) -> None:
             ET.SubElement(run, W + "t", {SPACE: "preserve"}).text = piece
 
 
+def _runs(e: ET.Element) -> Iterator[ET.Element]:
+    """The runs of a paragraph, those in links too; paragraphs of a text box inside a run are paragraphs of their own."""
+    for child in e:
+        if child.tag == W + "r":
+            yield child
+        elif child.tag != W + "p":
+            yield from _runs(child)
+
+
 class Package:
     """A package's XML parts with text, each parsed once, and its paragraphs in reading order."""
 
@@ -75,11 +84,11 @@ class Package:
         return {i: t.lstrip("/") if t.startswith("/") else normpath(join(dirname(BODY), t)) for i, t in found.items()}
 
     def texts(self) -> list[str]:
-        return ["".join(map(_text, p.iter(W + "r"))) for p in self.paragraphs]
+        return ["".join(map(_text, _runs(p))) for p in self.paragraphs]
 
     def edit(self, number: int, edits: list[Edit]) -> None:
         """Replaces spans of a paragraph: the first run that a span touches takes all the new text, the others lose theirs."""
-        runs = list(self.paragraphs[number].iter(W + "r"))
+        runs = list(_runs(self.paragraphs[number]))
         for start, end, new in sorted(edits, reverse=True):
             at = 0
             for run in runs:
