@@ -16,6 +16,7 @@ result; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -267,6 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 
 WORDS, BANDS, ROWS = 8, 16, 3
+TABLE, SLICE, HELD = 1 << 20, 1 << 20, 1 << 24  # low bits of a hash; hashes met at once; hashes of a cluster in memory
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -276,13 +278,21 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
     return (x ^ x >> np.uint64(29)) * MIX[(i + 3) % len(MIX)]
 
 
-def sketch(text: bytes | None, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Of the set of a text's shingles: a hash of the whole set, a 512-bit SimHash, and 16 band keys of 3 minima each."""
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The sorted hashes of a text's shingles; a text of fewer words is one shingle."""
     words = (text or b"").translate(LOWER).split()
     if len(words) < width:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(width)))), repeat(SEED)), np.uint64, len(words) - width + 1))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(width)))), repeat(SEED)), np.uint64, len(words) - width + 1))
+
+
+def _set_hash(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), 1)
+
+
+def sketch(text: bytes | None, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of the set of a text's shingles: a hash of the whole set, a 512-bit SimHash, and 16 band keys of 3 minima each."""
+    h = shingle_set(text, width)
     ones = np.zeros(64 * WORDS, np.int64)
     low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(h), 1 << 13):
@@ -292,41 +302,126 @@ def sketch(text: bytes | None, width: int) -> tuple[int, np.ndarray, np.ndarray]
         low = np.minimum(low, np.array([_mixed(part, WORDS + i).min() for i in range(len(low))], np.uint64))
     bands = low.reshape(BANDS, ROWS)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(bands)]
-    return xxhash.xxh64_intdigest(h.tobytes(), 1), np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64), np.array(keys, np.uint64)
+    return _set_hash(h), np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64), np.array(keys, np.uint64)
+
+
+def _radius(similarity: float) -> int:
+    """Bits that the fingerprints of sets of that similarity stay within: seven standard deviations over the mean."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * WORDS * p + 7 * np.sqrt(64 * WORDS * p * (1 - p)))
+
+
+def exact_groups(sizes: np.ndarray, hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Of sets laid end to end in hashes, the first member of the group of each: components over all pairs of the similarity or more.
+
+    A set meets all that have no group yet. A table of the low bits of its hashes bounds the common ones from above, and the
+    pairs that it leaves are counted hash by hash."""
+    begin, label = np.cumsum(sizes) - sizes, np.arange(len(sizes))
+    free, table_ = np.ones(len(sizes), bool), np.zeros(TABLE, np.uint8)
+    left, flat, ends = label, hashes, np.cumsum(sizes)
+    for root in range(len(sizes)):
+        if not free[root]:
+            continue
+        free[root], todo = False, [root]
+        while todo:
+            x = todo.pop()
+            if 2 * free[left].sum() < len(left) and sizes[left[free[left]]].sum() <= HELD:
+                left = left[free[left]]
+                flat = np.concatenate([hashes[begin[i] : begin[i] + sizes[i]] for i in left.tolist()] or [hashes[:0]])
+                ends = np.cumsum(sizes[left])
+            own = np.array(hashes[begin[x] : begin[x] + sizes[x]])
+            table_[own & np.uint64(TABLE - 1)] = 1
+            lo = 0
+            while lo < len(left):
+                base = int(ends[lo] - sizes[left[lo]])
+                hi = max(lo + 1, int(np.searchsorted(ends, base + SLICE, side="right")))
+                others = left[lo:hi]
+                most = np.add.reduceat(table_[flat[base : int(ends[hi - 1])] & np.uint64(TABLE - 1)], ends[lo:hi] - sizes[others] - base, dtype=np.int64)
+                most = np.minimum(most, np.minimum(sizes[others], len(own)))
+                for y in others[free[others] & (most >= similarity * (sizes[others] + len(own) - most))].tolist():
+                    common = len(np.intersect1d(own, hashes[begin[y] : begin[y] + sizes[y]], assume_unique=True))
+                    if common >= similarity * (len(own) + sizes[y] - common):
+                        free[y], label[y] = False, root
+                        todo.append(y)
+                lo = hi
+            table_[own & np.uint64(TABLE - 1)] = 0
+    return label
+
+
+def _confirmed(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(s, component) of rows (cluster, s, text): groups over the exact sets of each cluster, named by their smallest s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sizes, parts, held, file = None, [], [], [], 0, None
+
+        def groups() -> pa.RecordBatch:
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            if file:
+                file.write(flat.tobytes())
+                file.flush()
+                flat = np.memmap(file, np.uint64, "r")
+            s = np.array(names, np.int64)  # ascending, so the first member of a group is its smallest
+            return pa.record_batch([pa.array(s), pa.array(s[exact_groups(np.array(sizes, np.int64), flat, similarity)])], ["s", "component"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                for cluster, s, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    if names and cluster != now:
+                        yield groups()
+                        if file:
+                            file.close()
+                        names, sizes, parts, held, file = [], [], [], 0, None
+                    now = cluster
+                    if names and names[-1] == s:  # a row that is there more than once
+                        continue
+                    h = shingle_set(text, width)
+                    names.append(s)
+                    sizes.append(len(h))
+                    parts.append(h)
+                    held += len(h)
+                    if held > HELD:  # the sets of a very large cluster go to a file without a name
+                        file = file or tempfile.TemporaryFile()
+                        file.write(np.concatenate(parts).tobytes())
+                        parts, held = [], 0
+        if names:
+            yield groups()
+
+    return rows.repartition("cluster").sortWithinPartitions("cluster", "s").select("cluster", "s", "text").mapInArrow(run, "s long, component long")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component): groups over links of shingle-set similarity of `similarity` or more, as 512-bit SimHashes measure it.
+    """(id, h, component): groups over links of shingle-set similarity of `similarity` or more; h is the xxhash64 of the text, and
+    component the smallest hash of a set in the group.
 
-    Documents with the same set are one row from the start. Others meet if one of 16 bands (3 minima each) agrees, which two
-    of similarity 0.8 miss once in 10**5, and link if their fingerprints differ in no more bits than that similarity gives on average
-    (angle over pi of sets of like size).
+    Texts with the same set are one vertex, whatever their ids. Others are candidates if one of 16 bands (3 minima each) agrees, which
+    two of similarity 0.8 miss once in 10**5, and their fingerprints are within _radius. Components of candidates are clusters, and
+    within a cluster the exact sets decide.
     """
-    radius = int(64 * WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     scratch = Scratch(docs.sparkSession, "similar")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                rows = [sketch(t, width) for t in part.column(1).to_pylist()]
+                rows = [sketch(t, width) for t in part.column(2).to_pylist()]
                 sets = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
                 lists = [pa.array([r[i].view(np.int64) for r in rows], pa.list_(pa.int64())) for i in (1, 2)]
-                yield pa.record_batch([part.column(0), sets, *lists], ["id", "s", "fp", "bands"])
+                yield pa.record_batch([part.column(0), part.column(1), sets, *lists], ["id", "h", "s", "fp", "bands"])
 
-    rows = docs.select(id_of().alias("id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, s long, fp array<long>, bands array<long>")
-    rows = scratch.keep(rows)
-    ids = rows.groupBy("s").agg(F.min("id").alias("id"))
-    distinct = rows.join(ids, ["s", "id"], "left_semi").dropDuplicates(["s", "id"])
-    comp = components(_bucket_links(distinct.select("id", "fp", F.explode("bands").alias("k")), radius), scratch)
-    by_set = ids.join(comp, "id", "left").select("s", F.coalesce("component", "id").alias("component"))
-    return rows.select("id", "s").join(by_set, "s").select("id", "component")
+    texts = docs.select(id_of().alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = scratch.keep(texts.mapInArrow(run, "id long, h long, s long, fp array<long>, bands array<long>"))
+    ids = rows.groupBy("s").agg(F.min(F.struct("id", "h")).alias("m")).select("s", "m.id", "m.h")
+    distinct = rows.join(ids, ["s", "id", "h"], "left_semi").dropDuplicates(["s"])
+    near = scratch.keep(components(_bucket_links(distinct.select(F.col("s").alias("id"), "fp", F.explode("bands").alias("k")), _radius(similarity)), scratch))
+    members = near.select(F.col("id").alias("s"), F.col("component").alias("cluster")).union(near.select("component", "component").distinct())
+    exact = _confirmed(texts.join(members.join(ids, "s"), ["id", "h"]), width, similarity)
+    return rows.select("id", "h", "s").join(exact, "s", "left").select("id", "h", F.coalesce("component", "s").alias("component"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents whose id is the smallest of their group; of rows that repeat an id, the one of least text hash."""
-    groups = similar_groups(docs, width, similarity)
-    first = groups.where("id = component").select("id").distinct()
+    first = similar_groups(docs, width, similarity).groupBy("component").agg(F.min("id").alias("id")).select("id").distinct()
     order = Window.partitionBy("_id").orderBy(F.xxhash64("text"), F.col("text"))
     kept = docs.withColumn("_id", id_of()).join(first, F.col("_id") == first["id"], "left_semi")
     return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_id", "_n")

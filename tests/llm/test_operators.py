@@ -49,6 +49,46 @@ def test_keep_one_keeps_one_of_each(docs):
     assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "3", "4", "None", "7"])
 
 
+def _kept_texts(spark, texts, ids=None):
+    rows = list(zip(ids or range(len(texts)), texts))
+    return sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+
+
+def _groups_of(sets, similarity=0.8):
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= similarity * len(a | b):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def _swapped(words, n, tag):
+    """words with the last n of them new: n shingles gone and n new ones."""
+    return " ".join(words[: len(words) - n] + [f"{tag}{k}" for k in range(n)])
+
+
+def test_keep_one_decides_by_exact_sets(spark):
+    texts = []
+    for p in range(60):  # 196 shingles each: J = (196 - n) / (196 + n), 0.8 at n = 21.8
+        words = [f"w{p}x{k}" for k in range(200)]
+        texts += [" ".join(words), _swapped(words, (18, 20, 21, 22, 24, 28)[p % 6], f"n{p}x")]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    label = _groups_of(sets)
+    assert sum(i != x for i, x in enumerate(label)) == 30
+    assert [i for i, _ in sorted(_kept_texts(spark, texts))] == [i for i, x in enumerate(label) if i == x]
+
+
+def test_exact_groups_as_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**63, 60, dtype=np.uint64) for _ in range(5)]
+    sets = [np.unique(np.r_[rng.choice(base[i % 5], 60 - i % 9, replace=False), rng.integers(0, 2**63, i % 7, dtype=np.uint64)]) for i in range(150)]
+    want = _groups_of([set(s.tolist()) for s in sets])
+    for held, span in ((1 << 24, 1 << 20), (100, 100)):
+        monkeypatch.setattr(simhash, "HELD", held), monkeypatch.setattr(simhash, "SLICE", span)
+        assert simhash.exact_groups(np.array([len(s) for s in sets]), np.concatenate(sets), 0.8).tolist() == want
+
+
 @pytest.mark.parametrize(("width", "radius", "flipped"), [(1, 2, 0.02), (8, 77, 0.09), (8, 77, 0.5)])
 def test_buckets_of_many_as_brute_force(width, radius, flipped):
     rng = np.random.default_rng(7)
