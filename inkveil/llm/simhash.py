@@ -16,8 +16,10 @@ result; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -305,10 +307,26 @@ def sketch(text: bytes | None, width: int) -> tuple[int, np.ndarray, np.ndarray]
     return _set_hash(h), np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64), np.array(keys, np.uint64)
 
 
-def _radius(similarity: float) -> int:
-    """Bits that the fingerprints of sets of that similarity stay within: seven standard deviations over the mean."""
+def _unlike(common: int, left: int, right: int) -> float:
+    """The chance that a majority bit differs between sets of so many common shingles and so many of their own."""
+
+    def ones(own: int) -> np.ndarray:
+        """By the ones among the common shingles: the chance that the set's bit is 1."""
+        odds = np.array([math.comb(own, k) for k in range(own + 1)]) / 2**own
+        return np.array([odds[2 * (k + np.arange(own + 1)) > common + own].sum() for k in range(common + 1)])
+
+    a, b = ones(left), ones(right)
+    return float((np.array([math.comb(common, k) for k in range(common + 1)]) / 2**common * (a * (1 - b) + (1 - a) * b)).sum())
+
+
+@lru_cache
+def _radius(similarity: float, short: int = 24) -> int:
+    """Bits that the fingerprints of sets of that similarity stay within: seven standard deviations over the mean of long texts, or
+    over that of the worst pair of short ones, whose majority bits turn more easily."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * WORDS * p + 7 * np.sqrt(64 * WORDS * p * (1 - p)))
+    pairs = ((c, x, y) for c in range(1, short + 1) for y in range(short) for x in range(y + 1) if c >= similarity * (c + x + y))
+    p = max([p, *(_unlike(*n) for n in pairs)])
+    return min(64 * WORDS, int(64 * WORDS * p + 7 * np.sqrt(64 * WORDS * p * (1 - p))))
 
 
 def exact_groups(sizes: np.ndarray, hashes: np.ndarray, similarity: float) -> np.ndarray:

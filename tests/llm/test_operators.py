@@ -89,6 +89,16 @@ def test_exact_groups_as_brute_force(monkeypatch):
         assert simhash.exact_groups(np.array([len(s) for s in sets]), np.concatenate(sets), 0.8).tolist() == want
 
 
+def test_keep_one_finds_short_near_copies(spark):
+    texts = []
+    for n in (8, 9, 10, 11, 12, 19):  # one word more: J = 4/5, 5/6, 6/7, 7/8, 8/9, 15/16
+        for p in range(10):
+            words = [f"v{n}x{p}x{k}" for k in range(n)]
+            texts += [" ".join(words), " ".join([*words, "more"])]
+    assert [i for i, _ in sorted(_kept_texts(spark, texts))] == list(range(0, len(texts), 2))
+    assert simhash._radius(0.8) > 512 * 0.1875 + 6 * np.sqrt(512 * 0.1875 * 0.8125)  # of 4 shingles in 5
+
+
 @pytest.mark.parametrize(("width", "radius", "flipped"), [(1, 2, 0.02), (8, 77, 0.09), (8, 77, 0.5)])
 def test_buckets_of_many_as_brute_force(width, radius, flipped):
     rng = np.random.default_rng(7)
