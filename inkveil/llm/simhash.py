@@ -10,7 +10,7 @@ fingerprints differ in at most `radius` bits. Search runs over distinct fingerpr
 * Links become stars within a bucket (never all pairs), and the stars become components.
 
 Cases: null, empty or blank text has fingerprint 0 and links like any other; a null doc_id is one more id, after all
-others, and comes back as null; rows that repeat a doc_id are rows of their own, each with its own group (keep_one keeps one row of such an id); an empty table gives an empty
+others, and comes back as null; rows that repeat a doc_id are rows of their own, each with its own group; an empty table gives an empty
 result; columns other than doc_id and text are ignored.
 """
 
@@ -253,13 +253,16 @@ def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """(id, fp, component): a row per document; component is the smallest id reachable over links."""
+    """(id, fp, component, grp): a row per document; component is the smallest id reachable over links, grp the smallest fingerprint.
+
+    Groups are formed over fingerprints, so unlike ones whose smallest id is the same (or null) stay groups of their own."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, width))
     distinct = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    comp = components(links(distinct, radius), scratch)
-    by_fp = distinct.join(comp, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return fps.join(by_fp, "fp")
+    comp = components(links(distinct.select(F.col("fp").alias("id"), "fp"), radius), scratch)
+    named = distinct.join(comp.select(F.col("id").alias("fp"), "component"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("grp"))
+    by_fp = named.select("fp", "grp").join(named.groupBy("grp").agg(F.min("id").alias("component")), "grp")
+    return fps.join(by_fp, "fp").select("id", "fp", "component", "grp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -438,11 +441,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents whose id is the smallest of their group; of rows that repeat an id, the one of least text hash."""
-    first = similar_groups(docs, width, similarity).groupBy("component").agg(F.min("id").alias("id")).select("id").distinct()
-    order = Window.partitionBy("_id").orderBy(F.xxhash64("text"), F.col("text"))
-    kept = docs.withColumn("_id", id_of()).join(first, F.col("_id") == first["id"], "left_semi")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_id", "_n")
+    """One row of each group: that of the smallest id (null after all others), then of least text hash. Rows that share an id stay unless
+    they are in one group."""
+    first = similar_groups(docs, width, similarity).groupBy("component").agg(F.min(F.struct("id", "h")).alias("m")).select("m.id", "m.h")
+    kept = docs.withColumn("_id", id_of()).withColumn("_h", F.xxhash64("text"))
+    kept = kept.join(first, (F.col("_id") == first["id"]) & (F.col("_h") == first["h"]), "left_semi")
+    order = Window.partitionBy("_id", "_h").orderBy("text")
+    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_id", "_h", "_n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,22 @@ def test_keep_one_finds_short_near_copies(spark):
     assert simhash._radius(0.8) > 512 * 0.1875 + 6 * np.sqrt(512 * 0.1875 * 0.8125)  # of 4 shingles in 5
 
 
+def test_keep_one_goes_by_rows_not_ids(spark):
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(40))
+    texts = [text("a"), text("b"), text("c"), text("a"), text("d"), text("b"), text("d"), text("e"), text("c") + " more", text("f"), text("f")]
+    ids = [None, None, None, None, 5, 5, 6, 5, 2, 9, 9]
+    want = [(None, text("a")), (5, text("d")), (5, text("b")), (5, text("e")), (2, text("c") + " more"), (9, text("f"))]
+    assert _kept_texts(spark, texts, ids) == sorted(want, key=str)
+
+
+def test_simhash_groups_unlike_texts_of_one_id_apart(spark):
+    rows = [(None, "one two three four five"), (None, "six seven eight nine ten"), (3, "six seven eight nine ten"), (7, "a b c d e"), (7, "f g h i j"), (4, "f g h i j")]
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    fp = lambda t: f"{simhash.fingerprint(t.encode()):016x}"
+    assert got == sorted((str(i), fp(t), c) for (i, t), c in zip(rows, ["None", "3", "3", "7", "4", "4"]))
+    assert len({r.grp for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}) == 4
+
+
 @pytest.mark.parametrize(("width", "radius", "flipped"), [(1, 2, 0.02), (8, 77, 0.09), (8, 77, 0.5)])
 def test_buckets_of_many_as_brute_force(width, radius, flipped):
     rng = np.random.default_rng(7)
