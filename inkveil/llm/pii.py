@@ -3,10 +3,11 @@
 Numbers and dates are validated and then permuted within their own format by a keyed Feistel network, so equal values have
 equal pseudonyms in all documents, unlike values have unlike ones, and whoever has the key can go back:
 
-* card: 13 to 19 digits that pass the Luhn test; the first digit stays, the check digit fits the new number.
+* card: 13 to 19 digits that pass the Luhn test, of a longer candidate the longest such prefix of whole groups; the first digit stays, the check digit fits the new number.
 * ssn: ddd-dd-dddd of assignable parts, to others of them.
 * ip: dotted quads of octets.
-* phone: + country code and 7 to 14 more digits; code and punctuation stay.
+* phone: + country code and 7 to 14 more digits (10 after +1), in groups of any size, up to where another candidate starts; code
+  and punctuation stay.
 * date: y-m-d, d/m/y or d.m.y of a real day from 1900-01-01 to 2099-08-04 (270 * 270 days), to another.
 * email: has no numbering, so its local part becomes a keyed digest; the domain stays.
 
@@ -28,14 +29,24 @@ from inkveil.llm.common import table
 ROUNDS = 8
 DAYS = 270  # squared: the days of the date domain
 EPOCH = "1900-01-01"
+_IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
+_SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
+_DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"
+#: A card as it is mostly written, in fours or at a stretch.
+_CARD = r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
+#: A further digit of a phone or a card, after a blank, point or dash, unless another candidate starts there.
+_PHONE_DIGIT = rf"(?:[ .-]?(?!{_IP}|{_SSN}|{_DATE}|{_CARD})[0-9])"
+_CARD_DIGIT = rf"(?:[ -]?(?!{_IP}|{_SSN}|{_DATE})[0-9])"
 #: kind: pattern of candidates, in order of precedence.
 PATTERNS = {
     "email": r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?)(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])",
-    "card": r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "ip": _IP,
+    "ssn": _SSN,
+    "date": _DATE,
+    # of known length (+1), at a stretch, with the first group in parentheses, or in groups
+    "phone": r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{8,17}"
+    rf"|[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,2}}\){_PHONE_DIGIT}{{6,12}}|\([0-9]{{3,4}}\){_PHONE_DIGIT}{{4,10}})|[0-9]{{1,3}}(?![0-9]){_PHONE_DIGIT}{{7,14}})(?![0-9])",
+    "card": rf"(?<![0-9.])[0-9]{_CARD_DIGIT}{{12}}(?:(?![ -]{_CARD}){_CARD_DIGIT}){{0,6}}(?![0-9])",
 }
 RX = "|".join(PATTERNS.values())
 
@@ -108,13 +119,28 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def _card_in(m: Column) -> Column:
+    """The longest prefix of whole groups that passes the Luhn test: a following short number may stand in the candidate. Null if none does."""
+    prefixes = (F.regexp_extract(m, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(19, 12, -1))
+    return F.get(F.filter(F.array(*prefixes), lambda x: (x != "") & F.call_function("luhn_check", _digits(x))), F.lit(0))
+
+
 def _card(m: Column, key: str, back: bool) -> Column:
+    """The new card alone, without what follows it in m. Permuted again while it would be taken for a longer one there, so that the way back finds it."""
+
     def new(d: Column) -> Column:
         n = F.length(d)
         body = F.concat(F.substring(d, 1, 1), permute_digits(F.substring(d, F.lit(2), n - 2), key, "card", back))
         return let(body, lambda b: F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(b, c.cast("string"))), lambda x: F.call_function("luhn_check", x)), F.lit(0)))
 
-    return let(_digits(m), lambda d: F.when(F.call_function("luhn_check", d), _refill(m, new(d))))
+    step = lambda c: let(_digits(c), lambda d: _refill(c, new(d)))
+
+    def walk(c: Column) -> Column:
+        rest = F.substring(m, F.length(c) + 1, F.length(m))
+        again = F.aggregate(F.sequence(F.lit(1), F.lit(24)), step(c), lambda s, _: F.when(_card_in(F.concat(s, rest)) == s, s).otherwise(step(s)))
+        return F.when(c == m, step(c)).when(c.isNotNull(), again)
+
+    return let(_card_in(m), walk)
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
@@ -166,7 +192,8 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
         for name, f in makers.items():
             if not (back and name == "email"):
                 out = F.when(k == name, f(m, key, back)).otherwise(out)
-        return F.struct(k.alias("kind"), m.alias("of"), out.alias("to"))
+        of = F.when(k == "card", F.coalesce(_card_in(m), m)).otherwise(m)
+        return F.struct(k.alias("kind"), of.alias("of"), out.alias("to"))
 
     return let(kind, made)
 
@@ -178,7 +205,7 @@ def pseudonymize(docs: DataFrame, key: str = "inkveil", back: bool = False) -> D
     d = docs.withColumn("_m", matches)
     d = d.withColumn("_f", F.transform("_m", lambda m: pseudonym(m, key, back)))
     pieces = F.split(F.col("text").cast("string"), RX, -1)
-    spliced = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("_f", i)["to"], F.get("_f", i)["of"], F.lit("")))), "")
+    spliced = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("_f", i)["to"], F.get("_f", i)["of"], F.lit("")), F.coalesce(F.substring(F.get("_m", i), F.length(F.get("_f", i)["of"]) + 1, F.length(F.get("_m", i))), F.lit("")))), "")
     found = F.coalesce(F.filter("_f", lambda x: x["to"].isNotNull()), F.array().cast("array<struct<kind:string,of:string,to:string>>"))
     return d.withColumn("text", F.when(F.size("_m") > 0, spliced).otherwise(F.col("text"))).withColumn("found", found).drop("_m", "_f")
 
