@@ -1,7 +1,7 @@
 """Licence scans by a positional rare-token index, in DataFrame and SQL functions only.
 
 Licence templates (short notices and key sentences) are cut into words. The document frequency of every template word is
-counted over the whole corpus, and each template is indexed by its words of highest IDF: a posting says at which place of
+counted over the whole corpus, and each template is indexed by words of highest IDF, half of them of its key phrase: a posting says at which place of
 which template a word stands. A file's rare licence words are looked up; a lookup votes for (template, place in the file
 less place in the template), so words that stand apart as in the template vote alike. A template whose rare words agree
 on a place often enough is a candidate, and counts if its mandatory key phrase stands in the file too.
@@ -87,13 +87,19 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def index(docs: DataFrame) -> tuple[list[tuple[str, int]], dict[str, list[tuple[int, int]]]]:
-    """The sentences' labels and numbers of indexed words, and the postings word -> (sentence, place)."""
+def index(docs: DataFrame) -> tuple[list[tuple[str, int, int]], dict[str, list[tuple[int, int]]]]:
+    """The sentences' labels, numbers of indexed words and of votes needed, and the postings word -> (sentence, place).
+
+    Half of the words are of the key phrase, where the sentence has it, so a file with that phrase has the votes whatever the corpus."""
     df = {r.word: r.n for r in document_frequency(docs).collect()}
     known, postings = [], {}
     for t, (label, words) in enumerate(sentences()):
-        rare = sorted(set(words), key=lambda w: (df.get(w, 0), w))[:RARE]  # least frequent: highest IDF
-        known.append((label, len(rare)))
+        rarity = lambda w: (not df.get(w), df.get(w, 0), w)  # noqa: E731  least frequent: highest IDF; words that no file has come last
+        key = TEMPLATES[label][0].split()
+        key = key if any(words[i : i + len(key)] == key for i in range(len(words))) else []
+        own = sorted(set(key), key=rarity)[: math.ceil(RARE * AGREE)]
+        rare = own + sorted(set(words) - set(own), key=rarity)[: RARE - len(own)]
+        known.append((label, len(rare), min(len(own) or RARE, max(1, math.ceil(len(rare) * AGREE)))))
         for w in rare:
             for at, x in enumerate(words):
                 if x == w:
@@ -123,8 +129,8 @@ def licenses(docs: DataFrame) -> DataFrame:
 
     base_labels = F.array_sort(F.array_distinct(F.transform("base", named)))
     table_ = F.create_map(*(x for w, own in sorted(postings.items()) for x in (F.lit(w), F.array(*(F.lit(t * SHIFT - at) for t, at in own)))))
-    need = F.array(*(F.lit(max(1, math.ceil(n * AGREE))) for _, n in known))
-    total = F.array(*(F.lit(n) for _, n in known))
+    need = F.array(*(F.lit(n) for *_, n in known))
+    total = F.array(*(F.lit(n) for _, n, _ in known))
     # Places of the file's rare words: the words between them are counted, as offsets are.
     hits = F.transform(F.regexp_extract_all("some", rare, F.lit(0)), lambda w: F.lower(w))
     gaps = F.transform(F.split(F.col("some"), rare, F.lit(-1)), lambda g: F.regexp_count(g, F.lit(WORD_RX)))
@@ -149,7 +155,7 @@ def licenses(docs: DataFrame) -> DataFrame:
 
     def counts_for(r: Column) -> Column:
         out = F.lit(None).cast("string")
-        for t, (label, _) in enumerate(known):
+        for t, (label, *_) in enumerate(known):
             out = F.when((r["t"] == t) & F.col("some").rlike(phrases[label]), F.lit(label)).otherwise(out)
         return F.struct(out.alias("label"), (r["n"] / F.get(total, r["t"])).alias("share"))
 

@@ -198,6 +198,15 @@ def test_licenses(docs):
     assert by[1].n_words == 0 and by[2].labels == "" and by[7].n_words == 1
 
 
+def test_licenses_by_key_phrase_in_any_corpus(spark):
+    texts = ["licensed under the Eclipse Public License", "released under CC0", "under the Mozilla Public License", "the terms"]
+    common = ["eclipse mozilla public license cc0"] * 5
+    for more in ([], common, ["made available domain dedication universal subject"] * 2 + common):
+        rows = list(enumerate(texts + more))
+        by = {r.doc_id: r.labels for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [by[i] for i in range(4)] == ["epl", "cc0", "mpl", ""]
+
+
 def test_syncmers_next_text(docs):
     rows = syncmers.fingerprints(docs).collect()
     order = [(7, "x" * 5000), (4, TEXTS[3][1]), (4, TEXTS[3][1]), (3, TEXTS[2][1]), (2, ""), (1, ""), (None, TEXTS[5][1])]
