@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkveil.functions import arrays
 
-def matches(text: str, pattern: str) -> Column:
-    """array<struct<start, end, text>> of a pattern's matches in a text column, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-
-    def step(acc: Column, z: Column) -> Column:
-        s = acc["at"] + z["gap"]
-        e = s + F.length(z["m"])
-        return F.struct(e.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), z["m"].alias("text")))).alias("out"))
 
-    return F.aggregate(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))).alias("gap")), zero, step, lambda a: a["out"])
+def matches(text: str, pattern: str | Column) -> Column:
+    """array<struct<start, end, text>> of a pattern's matches in a text column, in code points."""
+    return arrays.matches(F.col(text), pattern)
 
 
 def islands(spans: DataFrame, key: str) -> DataFrame:
