@@ -9,8 +9,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id inside the operators; sorts after every real id.
-NULL_ID = 2**63 - 1
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes(range(256)).lower()
 #: Lower-cases, and turns every ASCII byte outside 0-9 and a-z into a blank; bytes of other characters stay.
@@ -21,13 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_of(col: str | Column = "doc_id") -> Column:
-    """The id as a long, with NULL_ID for null."""
-    return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("long"), F.lit(NULL_ID))
+def corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows are dealt out for costly work per row."""
+    return spread(table(spark, sf_dir, name))
 
 
-def id_back(col: str | Column) -> Column:
-    return F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))
+def hide(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str], str]:
+    """docs with its columns renamed c0, c1, ... by position, its own names, and the new name of the text column.
+
+    Operators work on hidden columns, so columns of any name, repeated ones too, cannot clash with theirs."""
+    names = docs.columns
+    at = [n.lower() for n in names].index(text.lower())
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))), names, f"c{at}"
+
+
+def show(hidden: DataFrame, names: list[str], *more: str, **instead: str | Column) -> DataFrame:
+    """The hidden columns under their own names, then `more`; a column that has the name of a new one gives way to it. instead: new
+    values for hidden columns."""
+    taken = {m.lower() for m in more}
+    own = [F.col(f"c{i}") if f"c{i}" not in instead else instead[f"c{i}"] for i in range(len(names))]
+    own = [(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(own, names) if n.lower() not in taken]
+    return hidden.select(*own, *more)
+
+
+def doc_id(col: str = "doc_id") -> Column:
+    return F.col(col).cast("long")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -61,10 +77,37 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame, sf: int = 4) -> DataFrame:
-    """Deals rows out evenly before a costly stage if the input has fewer splits than cores."""
+def spread(df: DataFrame, factor: int = 4) -> DataFrame:
+    """df, or its rows dealt out anew if the largest split has more than twice a core's even share, as a file of one row group has.
+
+    The test counts rows by split, which reads no column."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * sf) if df.rdd.getNumPartitions() < cores else df
+    by_split = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    largest, total = by_split.agg(F.max("n"), F.sum("n")).first()
+    return df.repartition(factor * cores) if largest and largest * cores > 2 * total and total > factor * cores else df
+
+
+SHARE = 4096
+
+
+def join_spread(rows: DataFrame, by_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with by_key, a kept table of one row per key and the number `n` of rows that have it (n is dropped).
+
+    Keys of more than 1/4096 of all rows, so 4096 of them at most, are broadcast with their number of parts: their rows are dealt
+    over as many tasks, and their row of by_key is repeated for each."""
+    least = max(100, int(by_key.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    heavy = F.broadcast(by_key.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts")))
+    dealt = rows.join(heavy, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    again = by_key.drop("n").join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(again, [*keys, "_part"], how).drop("_part")
+
+
+def least_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows of df that hold all of the `most` least hashes of key, and about `most` more: a cut-off that is the same in every task."""
+    n = df.count()
+    if n <= 2 * most:
+        return df
+    return df.where(F.xxhash64(key) < F.lit(int(-(2**63) + 2**64 * 2 * most / n)))
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:

@@ -9,15 +9,17 @@ fingerprints differ in at most `radius` bits. Search runs over distinct fingerpr
   counters that count many distances at once, and a block of lanes is abandoned once every lane is over the radius.
 * Links become stars within a bucket (never all pairs), and the stars become components.
 
-Cases: null, empty or blank text has fingerprint 0 and links like any other; a null doc_id is one more id, after all
-others, and comes back as null; rows that repeat a doc_id are rows of their own, each with its own group; an empty table gives an empty
-result; columns other than doc_id and text are ignored.
+Near copies of a corpus (keep_one) are decided on exact sets of shingles: SimHashes of 512 bits propose them. Groups of any size are
+dealt over tasks: members meet the first of their bucket, then only members that are not yet joined meet, block by block.
+
+Cases: null, empty or blank text has fingerprint 0 and links like any other; a null doc_id comes after all others, so a group of
+rows without any has the component null; rows that repeat a doc_id are rows of their own, each with its own group; an empty table
+gives an empty result; columns other than doc_id and text are ignored (keep_one keeps them, whatever their names).
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import LOWER, Scratch, components, id_back, id_of, table
+from inkveil.llm.common import LOWER, Scratch, components, corpus, doc_id, hide, join_spread, show
 
 SEED = 42
 CHUNK = 1 << 16
@@ -57,7 +59,7 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(id, fp): the document's id, NULL_ID for null, and its fingerprint as a signed long."""
+    """(id, fp): the document's id, and its fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 fps = [_signed(fingerprint(t, width)) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
-    return docs.select(id_of().alias("id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(doc_id().alias("id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -112,11 +114,26 @@ def _above(counts: np.ndarray, radius: int) -> np.ndarray:
     return more
 
 
+def _first_alike(sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each member of buckets laid end to end, the place of the first of its bucket with the same id."""
+    order = np.lexsort((np.arange(len(ids)), ids, bucket := np.repeat(np.arange(len(sizes)), sizes)))
+    new = np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(bucket[order]) != 0)][: len(ids)]
+    out = np.empty(len(ids), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1] if len(ids) else 0
+    return out
+
+
+def _links_of(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unlike = np.flatnonzero(ids != ids[label])
+    return ids[unlike], ids[label[unlike]]
+
+
 def _stars(sizes: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between members of the same bucket: in round r each member meets the one r places on, unless they are joined already."""
+    """Links between ids of the same bucket (members with the same id are joined from the start): in round r each member meets the
+    one r places on, unless they are joined already."""
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     ends = first + np.repeat(sizes, sizes)
-    label = np.arange(len(ids))
+    label = _first_alike(sizes, ids)
     at, r = np.arange(len(ids)), 1
     while True:
         at = at[at + r < ends[at]]
@@ -139,8 +156,7 @@ def _stars(sizes: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) ->
         while len(near) and (label != label[label]).any():
             label = label[label]
         r += 1
-    linked = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[linked], ids[label[linked]]
+    return _links_of(ids, label)
 
 
 def _near_lanes(planes: np.ndarray, flips: np.ndarray, query: np.ndarray, word: np.ndarray, live: np.ndarray, radius: int) -> np.ndarray:
@@ -179,7 +195,9 @@ def _large_stars(sizes: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: in
     bucket, there = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(padded), bool)
     there[first] = True
     begin = (np.cumsum(n_words) - n_words).astype(np.int64)
-    planes, label, parts = _planes(padded), np.arange(len(padded)), sizes.copy()
+    planes, label, same = _planes(padded), np.arange(len(padded)), _first_alike(sizes, ids)
+    label[first] = first[same]
+    parts = np.bincount(bucket[same == np.arange(len(ids))], minlength=len(sizes))
     order = np.lexsort((bucket, first - begin[bucket] * LANES))  # first members of all buckets first
     lane, bucket = first[order], bucket[order]
     cost = np.cumsum(n_words[bucket] - (lane // LANES - begin[bucket]))
@@ -216,23 +234,22 @@ def _large_stars(sizes: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: in
                 parts[own] -= len(joined) - 1
     place = np.zeros(len(padded), np.int64)
     place[first] = np.arange(len(ids))
-    linked = np.flatnonzero(label[first] != first)
-    return ids[linked], ids[place[label[first[linked]]]]
+    return _links_of(ids, place[label[first]])
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) that join all fingerprints within the radius, directly or through others of their bucket."""
+    """Edges (a, b) that join all fingerprints (fp) within the radius, directly or through others of their bucket."""
     keys = []
     for t, gone in enumerate(combinations(range(8), radius)):
         mask = _signed(~sum(0xFF << 8 * g for g in gone) & (1 << 64) - 1)
         keys.append(F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    keyed = distinct.select("id", F.array("fp").alias("fp"), F.explode(F.array(*keys)).alias("k"))
-    return _bucket_links(keyed, radius)
+    return _bucket_links(distinct.select(F.col("fp").alias("id"), F.array("fp").alias("fp"), F.explode(F.array(*keys)).alias("k")), ["k"], radius)
 
 
-def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
-    """(a, b) for keyed rows (id, fp array<long>, k): bit-sliced comparison inside every bucket k, whose links leave as stars."""
-    buckets = keyed.groupBy("k").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("fp")).alias("fps")).where(F.size("ids") > 1).select("ids", "fps")
+def _bucket_links(keyed: DataFrame, by: list[str], radius: int) -> DataFrame:
+    """(a, b) for rows (id, fp array<long>, and the columns `by` of a bucket of bounded size): bit-sliced comparison inside every
+    bucket, whose links between unlike ids leave as stars."""
+    buckets = keyed.groupBy(*by).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("fp")).alias("fps")).where(F.size("ids") > 1).select("ids", "fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,22 +275,24 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     Groups are formed over fingerprints, so unlike ones whose smallest id is the same (or null) stay groups of their own."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, width))
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    comp = components(links(distinct.select(F.col("fp").alias("id"), "fp"), radius), scratch)
-    named = distinct.join(comp.select(F.col("id").alias("fp"), "component"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("grp"))
-    by_fp = named.select("fp", "grp").join(named.groupBy("grp").agg(F.min("id").alias("component")), "grp")
-    return fps.join(by_fp, "fp").select("id", "fp", "component", "grp")
+    distinct = scratch.keep(fps.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    comp = components(links(distinct.select("fp"), radius), scratch)
+    named = scratch.keep(distinct.join(comp.select(F.col("id").alias("fp"), "component"), "fp", "left").select("fp", "id", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("grp")))
+    by_group = scratch.keep(named.groupBy("grp").agg(F.min("id").alias("component"), F.count("*").alias("n")))
+    by_fp = scratch.keep(join_spread(named.drop("id"), by_group, ["grp"]).withColumnRenamed("rows", "n"))
+    return join_spread(fps, by_fp, ["fp"]).select("id", "fp", "component", "grp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     return near_groups(docs, width, radius).select(
-        id_back("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back("component").alias("component_id")
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
 
 WORDS, BANDS, ROWS = 8, 16, 3
-TABLE, SLICE, HELD = 1 << 20, 1 << 20, 1 << 24  # low bits of a hash; hashes met at once; hashes of a cluster in memory
+TABLE, SLICE = 1 << 20, 1 << 20  # low bits of a hash; hashes met at once
+BLOCK_FPS, BLOCK_HASHES = 1 << 13, 1 << 21  # of two such blocks a task holds at once: fingerprints, hashes of sets
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -332,83 +351,155 @@ def _radius(similarity: float, short: int = 24) -> int:
     return min(64 * WORDS, int(64 * WORDS * p + 7 * np.sqrt(64 * WORDS * p * (1 - p))))
 
 
-def exact_groups(sizes: np.ndarray, hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """Of sets laid end to end in hashes, the first member of the group of each: components over all pairs of the similarity or more.
+def exact_links(sizes: np.ndarray, hashes: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Of sets laid end to end in hashes, links that join all pairs of the similarity or more whose labels differ, directly or through others.
 
-    A set meets all that have no group yet. A table of the low bits of its hashes bounds the common ones from above, and the
-    pairs that it leaves are counted hash by hash."""
-    begin, label = np.cumsum(sizes) - sizes, np.arange(len(sizes))
-    free, table_ = np.ones(len(sizes), bool), np.zeros(TABLE, np.uint8)
-    left, flat, ends = label, hashes, np.cumsum(sizes)
-    for root in range(len(sizes)):
-        if not free[root]:
+    A set meets all after it that are not joined to it yet. A table of the low bits of its hashes bounds the common ones from
+    above, and the pairs that it leaves are counted hash by hash."""
+    begin, ends, out = np.cumsum(sizes) - sizes, np.cumsum(sizes), []
+    label, table_, low = label.copy(), np.zeros(TABLE, np.uint8), (hashes & np.uint64(TABLE - 1)).astype(np.int32)
+    for x in range(len(sizes) - 1):
+        here = slice(int(begin[x]), int(ends[x]))
+        others = x + 1 + np.flatnonzero((label[x + 1 :] != label[x]) & (sizes[x + 1 :] >= similarity * sizes[x]) & (similarity * sizes[x + 1 :] <= sizes[x]))
+        if not len(others):
             continue
-        free[root], todo = False, [root]
-        while todo:
-            x = todo.pop()
-            if 2 * free[left].sum() < len(left) and sizes[left[free[left]]].sum() <= HELD:
-                left = left[free[left]]
-                flat = np.concatenate([hashes[begin[i] : begin[i] + sizes[i]] for i in left.tolist()] or [hashes[:0]])
-                ends = np.cumsum(sizes[left])
-            own = np.array(hashes[begin[x] : begin[x] + sizes[x]])
-            table_[own & np.uint64(TABLE - 1)] = 1
-            lo = 0
-            while lo < len(left):
-                base = int(ends[lo] - sizes[left[lo]])
-                hi = max(lo + 1, int(np.searchsorted(ends, base + SLICE, side="right")))
-                others = left[lo:hi]
-                most = np.add.reduceat(table_[flat[base : int(ends[hi - 1])] & np.uint64(TABLE - 1)], ends[lo:hi] - sizes[others] - base, dtype=np.int64)
-                most = np.minimum(most, np.minimum(sizes[others], len(own)))
-                for y in others[free[others] & (most >= similarity * (sizes[others] + len(own) - most))].tolist():
-                    common = len(np.intersect1d(own, hashes[begin[y] : begin[y] + sizes[y]], assume_unique=True))
-                    if common >= similarity * (len(own) + sizes[y] - common):
-                        free[y], label[y] = False, root
-                        todo.append(y)
-                lo = hi
-            table_[own & np.uint64(TABLE - 1)] = 0
-    return label
-
-
-def _confirmed(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(s, component) of rows (cluster, s, text): groups over the exact sets of each cluster, named by their smallest s."""
+        table_[low[here]] = 1
+        spans = np.cumsum(sizes[others])
+        lo = 0
+        while lo < len(others):
+            base = int(spans[lo] - sizes[others[lo]])
+            hi = max(lo + 1, int(np.searchsorted(spans, base + SLICE, side="right")))
+            some = others[lo:hi]
+            flat = np.concatenate([low[begin[i] : ends[i]] for i in some.tolist()])
+            most = np.add.reduceat(table_[flat], spans[lo:hi] - sizes[some] - base, dtype=np.int64)
+            most = np.minimum(most, np.minimum(sizes[some], sizes[x]))
+            for y in some[most >= similarity * (sizes[some] + sizes[x] - most)].tolist():
+                if label[y] != label[x] and alike(hashes[here], hashes[begin[y] : ends[y]], similarity):
+                    label[label == label[y]] = label[x]
+                    out.append((x, y))
+            lo = hi
+        table_[low[here]] = 0
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+def _blocks(members: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
+    """(g, t, s, label) of members (g, label, s, w): tasks (g, t) in which any two members of a group with unlike labels meet.
+
+    A group that weighs no more than 2 * cap is one task. A heavier one is cut into blocks of about cap, of one label each if that
+    weighs more than cap and else mixed, and each pair of blocks that has unlike labels is a task. Members of one label never
+    meet for their own sake, so a group that is one label but for a few members makes about as many tasks as it has blocks."""
+    by_label = scratch.keep(members.groupBy("g", "label").agg(F.sum("w").alias("w"), F.count("*").alias("n")))
+    whole = by_label.groupBy("g").agg(F.sum("w").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    units = scratch.keep(by_label.withColumnRenamed("w", "lw").join(whole.select("g", "all"), "g"))
+    dealt = join_spread(members.select("g", "label", "s"), units, ["g", "label"])
+    small = dealt.where(F.col("all") <= 2 * cap).select("g", F.lit(0).cast("long").alias("t"), "s", "label")
+    own = F.when(F.col("lw") > cap, F.col("label"))  # null: a mixed block
+    large = units.where(F.col("all") > 2 * cap).groupBy("g", own.alias("u")).agg(F.ceil(F.sum("lw") / cap).cast("int").alias("n_blocks"), F.sum("n").alias("n"))
+    large = scratch.keep(large.withColumn("k", F.xxhash64("u")))
+    blocks = large.select("g", "k", "u", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("b"))
+    x, y = (blocks.select("g", *(F.col(c).alias(f"{c}{side}") for c in "kub")) for side in "xy")
+    pairs = x.join(y, "g").where("struct(kx, bx) <= struct(ky, by) and not (ux <=> uy and ux is not null)").withColumn("t", F.xxhash64("kx", "bx", "ky", "by"))
+    places = pairs.select("g", F.explode(F.array_distinct(F.array(F.struct(F.col("kx").alias("k"), F.col("bx").alias("b")), F.struct(F.col("ky").alias("k"), F.col("by").alias("b"))))).alias("p"), "t").select("g", "p.k", "p.b", "t")
+    heavy = dealt.where(F.col("all") > 2 * cap).withColumn("k", F.xxhash64(own))
+    heavy = join_spread(heavy.select("g", "k", "s", "label"), large.select("g", "k", "n_blocks", "n"), ["g", "k"]).withColumn("b", F.pmod(F.xxhash64("s"), F.col("n_blocks")).cast("int"))
+    return small.unionByName(heavy.join(places, ["g", "k", "b"]).select("g", "t", "s", "label"))
+
+
+def _radius_links(edges: DataFrame, radius: int) -> DataFrame:
+    """The edges (s, lead) of rows (s, lead, fp, lead_fp) whose fingerprints are within the radius, by bit slices of many edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, sizes, parts, held, file = None, [], [], [], 0, None
+        for b in batches:
+            one, two = (b.column(i).flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
+            yield b.select(range(2)).filter(pa.array(within(one, two, radius), pa.bool_()))
 
-        def groups() -> pa.RecordBatch:
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            if file:
-                file.write(flat.tobytes())
-                file.flush()
-                flat = np.memmap(file, np.uint64, "r")
-            s = np.array(names, np.int64)  # ascending, so the first member of a group is its smallest
-            return pa.record_batch([pa.array(s), pa.array(s[exact_groups(np.array(sizes, np.int64), flat, similarity)])], ["s", "component"])
+    return edges.select("s", "lead", "fp", "lead_fp").mapInArrow(run, "s long, lead long")
 
+
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(s, m, hashes): the exact sets, m hashes each, of the wanted (s, id, h). A set may be there more than once if rows repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                for cluster, s, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    if names and cluster != now:
-                        yield groups()
-                        if file:
-                            file.close()
-                        names, sizes, parts, held, file = [], [], [], 0, None
-                    now = cluster
-                    if names and names[-1] == s:  # a row that is there more than once
-                        continue
-                    h = shingle_set(text, width)
+                names, sets = [], []
+                for s, text in zip(*(c.to_pylist() for c in b.slice(at, 500).columns)):
+                    if s != last:
+                        names.append(s)
+                        sets.append(shingle_set(text, width))
+                        last = s
+                offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                flat = pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["s", "m", "hashes"])
+
+    same = texts["id"].eqNullSafe(wanted["id"]) & (texts["h"] == wanted["h"])
+    return texts.join(wanted, same).select("s", "text").mapInArrow(run, "s long, m long, hashes array<long>")
+
+
+def _hashes(column: pa.ListArray) -> list[np.ndarray]:
+    flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
+def _verified(edges: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Of edges (s, lead), those (a, b) whose exact sets are alike. A lead's many edges are dealt over tasks, each with the lead's set."""
+    leads = scratch.keep(edges.groupBy("lead").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / 2000).cast("int")))
+    mine = join_spread(edges, leads, ["lead"]).select("lead", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "s")
+    theirs = leads.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("lead").alias("s"))
+    rows = mine.unionByName(theirs).join(sets.select("s", "hashes"), "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead_set = np.zeros(0, np.uint64)
+        for b in batches:
+            a, z = [], []
+            for lead, role, s, own in zip(*(b.column(i).to_pylist() for i in range(3)), _hashes(b.column(3))):
+                if not role:
+                    lead_set = own.copy()
+                elif alike(lead_set, own, similarity):
+                    a.append(s)
+                    z.append(lead)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+
+    dealt = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "role", "s")
+    return dealt.select("lead", "role", "s", "hashes").mapInArrow(run, "a long, b long")
+
+
+def _block_links(tasks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): labels of tasks' members (g, t, s, label) that exact sets of the similarity join."""
+    rows = tasks.join(sets.select("s", "hashes"), "s").repartition("g", "t").sortWithinPartitions("g", "t", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, labels, parts = None, [], [], []
+
+        def links_() -> pa.RecordBatch:
+            at = exact_links(np.array([len(p) for p in parts]), np.concatenate(parts), np.unique(labels, return_inverse=True)[1], similarity)
+            return pa.record_batch([pa.array([labels[i] for i, _ in at], pa.int64()), pa.array([labels[j] for _, j in at], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for g, t, s, label, own in zip(*(b.column(i).to_pylist() for i in range(4)), _hashes(b.column(4))):
+                if names and (g, t) != now:
+                    yield links_()
+                    names, labels, parts = [], [], []
+                now = g, t
+                if not names or names[-1] != s:
                     names.append(s)
-                    sizes.append(len(h))
-                    parts.append(h)
-                    held += len(h)
-                    if held > HELD:  # the sets of a very large cluster go to a file without a name
-                        file = file or tempfile.TemporaryFile()
-                        file.write(np.concatenate(parts).tobytes())
-                        parts, held = [], 0
+                    labels.append(label)
+                    parts.append(own.copy())
         if names:
-            yield groups()
+            yield links_()
+
+    return rows.select("g", "t", "s", "label", "hashes").mapInArrow(run, "a long, b long")
 
-    return rows.repartition("cluster").sortWithinPartitions("cluster", "s").select("cluster", "s", "text").mapInArrow(run, "s long, component long")
+
+def _labelled(rows: DataFrame, comp: DataFrame, col: str = "s") -> DataFrame:
+    """rows with label, the component of col, or col itself where it has none."""
+    return rows.join(comp.select(F.col("id").alias(col), "component"), col, "left").withColumn("label", F.coalesce("component", col)).drop("component")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -416,8 +507,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     component the smallest hash of a set in the group.
 
     Texts with the same set are one vertex, whatever their ids. Others are candidates if one of 16 bands (3 minima each) agrees, which
-    two of similarity 0.8 miss once in 10**5, and their fingerprints are within _radius. Components of candidates are clusters, and
-    within a cluster the exact sets decide.
+    two of similarity 0.8 miss once in 10**5, and their fingerprints are within _radius. In three steps, none of which holds a whole
+    bucket or group in a task:
+
+    1. Members of a bucket meet its smallest. Buckets that this does not join wholly are compared in blocks. What is joined is a cluster.
+    2. The exact sets of the pairs of the first kind are compared. Clusters that this joins wholly are done, such as a text and
+       its many near copies.
+    3. In the others, members that are not joined yet meet in blocks, by exact sets.
     """
     scratch = Scratch(docs.sparkSession, "similar")
 
@@ -430,25 +526,49 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
                 lists = [pa.array([r[i].view(np.int64) for r in rows], pa.list_(pa.int64())) for i in (1, 2)]
                 yield pa.record_batch([part.column(0), part.column(1), sets, *lists], ["id", "h", "s", "fp", "bands"])
 
-    texts = docs.select(id_of().alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = docs.select(doc_id().alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").cast("binary").alias("text"))
     rows = scratch.keep(texts.mapInArrow(run, "id long, h long, s long, fp array<long>, bands array<long>"))
-    ids = rows.groupBy("s").agg(F.min(F.struct("id", "h")).alias("m")).select("s", "m.id", "m.h")
-    distinct = rows.join(ids, ["s", "id", "h"], "left_semi").dropDuplicates(["s"])
-    near = scratch.keep(components(_bucket_links(distinct.select(F.col("s").alias("id"), "fp", F.explode("bands").alias("k")), _radius(similarity)), scratch))
-    members = near.select(F.col("id").alias("s"), F.col("component").alias("cluster")).union(near.select("component", "component").distinct())
-    exact = _confirmed(texts.join(members.join(ids, "s"), ["id", "h"]), width, similarity)
-    return rows.select("id", "h", "s").join(exact, "s", "left").select("id", "h", F.coalesce("component", "s").alias("component"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("m")
+    sets_ = scratch.keep(rows.groupBy("s").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("s", "m.id", "m.h", "fp", "bands"))
+    radius = _radius(similarity)
+
+    keys = sets_.select("s", F.explode("bands").alias("k"))
+    lead = scratch.keep(keys.groupBy("k").agg(F.min("s").alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    members = scratch.keep(join_spread(keys, lead, ["k"]))
+    fps = sets_.select("s", "fp")
+    edges = members.where("s <> lead").select("s", "lead").distinct().join(fps, "s")
+    by_lead = scratch.keep(members.where("s <> lead").groupBy("lead").agg(F.count("*").alias("n")).join(fps.select(F.col("s").alias("lead"), F.col("fp").alias("lead_fp")), "lead"))
+    near = scratch.keep(_radius_links(join_spread(edges, by_lead, ["lead"]), radius))
+    joined = components(near.select(F.col("s").alias("a"), F.col("lead").alias("b")), scratch)
+    marked = _labelled(members.select("k", "s"), joined)
+    mixed = scratch.keep(marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("k", "n"))
+    todo = scratch.keep(join_spread(marked, mixed, ["k"]).select(F.col("k").alias("g"), "label", "s", F.lit(1).alias("w")))
+    tasks = _blocks(todo, BLOCK_FPS, scratch).join(fps, "s").select("g", "t", F.col("label").alias("id"), "fp")
+    both = near.select(F.col("s").alias("a"), F.col("lead").alias("b")).unionByName(_bucket_links(tasks, ["g", "t"], radius))
+    clusters = components(both, scratch)
+
+    cluster = scratch.keep(clusters.select(F.col("id").alias("s"), F.col("component").alias("g")).unionByName(clusters.select(F.col("component").alias("s"), F.col("component").alias("g")).distinct()).distinct())
+    sets = scratch.keep(_sets(texts, sets_.select("s", "id", "h").join(cluster.select("s"), "s"), width))
+    sure = scratch.keep(_verified(near, sets, similarity, scratch))
+    exact = components(sure, scratch)
+    open_ = _labelled(cluster, exact).join(sets.groupBy("s").agg(F.max("m").alias("w")), "s")
+    more = scratch.keep(_block_links(_blocks(scratch.keep(open_.select("g", "label", "s", "w")), BLOCK_HASHES, scratch), sets, similarity))
+    groups = components(sure.unionByName(more), scratch)
+    by_set = scratch.keep(_labelled(rows.groupBy("s").agg(F.count("*").alias("n")), groups).withColumnRenamed("label", "component"))
+    return join_spread(rows.select("id", "h", "s"), by_set, ["s"]).select("id", "h", "component")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group: that of the smallest id (null after all others), then of least text hash. Rows that share an id stay unless
     they are in one group."""
-    first = similar_groups(docs, width, similarity).groupBy("component").agg(F.min(F.struct("id", "h")).alias("m")).select("m.id", "m.h")
-    kept = docs.withColumn("_id", id_of()).withColumn("_h", F.xxhash64("text"))
-    kept = kept.join(first, (F.col("_id") == first["id"]) & (F.col("_h") == first["h"]), "left_semi")
-    order = Window.partitionBy("_id", "_h").orderBy("text")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_id", "_h", "_n")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("m")
+    chosen = similar_groups(docs, width, similarity).groupBy("component").agg(first).select(F.col("m.id").alias("own_id"), F.col("m.h").alias("own_h")).distinct()
+    hidden, names, text = hide(docs)
+    kept = hidden.withColumn("id", doc_id(f"c{[n.lower() for n in names].index('doc_id')}")).withColumn("h", F.xxhash64(text))
+    kept = kept.join(chosen, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")), "left_semi")
+    order = Window.partitionBy("id", "h").orderBy(text)
+    return show(kept.withColumn("place", F.row_number().over(order)).where("place = 1"), names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(corpus(spark, sf_dir))
