@@ -6,17 +6,23 @@ equal pseudonyms in all documents, unlike values have unlike ones, and whoever h
 * card: 13 to 19 digits that pass the Luhn test, of a longer candidate the longest such prefix of whole groups; the first digit stays, the check digit fits the new number.
 * ssn: ddd-dd-dddd of assignable parts, to others of them.
 * ip: dotted quads of octets.
-* phone: + country code and 7 to 14 more digits (10 after +1), in groups of any size, up to where another candidate starts; code
-  and punctuation stay.
-* date: y-m-d, d/m/y or d.m.y of a real day from 1900-01-01 to 2099-08-04 (270 * 270 days), to another.
+* phone: + country code and 6 to 14 more digits, in groups of any size, up to where another candidate starts; the country code (by the
+  table of codes, however the number is grouped), a trunk "(0)" and punctuation stay, so a number is the same one in all its spellings.
+* date: y-m-d, d/m/y or d.m.y, or m/d/y where d/m/y is no day, of a real day from 0001-01-01 to 9999-12-31, to another within about
+  a century (36525 days); the order and punctuation stay.
 * email: has no numbering, so its local part becomes a keyed digest; the domain stays.
 
 The network works on a pair (A, B) of an a * b domain: even rounds add a keyed digest of B to A modulo a, odd rounds one of A
-to B modulo b; that is a bijection for any a and b, so no value needs a second walk.
+to B modulo b; that is a bijection for any a and b. Where the image would be read as something else (a card that becomes longer with the
+number behind it, a phone that looks like an ssn, a day that is not written so), it is permuted again until it would not, which
+is a bijection too; 24 times at most, beyond which the value stays (that has never been seen).
+
+Every pattern is read in time linear in the text: repeats inside it are possessive or bounded, and an e-mail is only looked for where
+a run of its characters begins.
 
 Cases: null text stays null, with no findings; values that fail validation stay; a null doc_id stays null; equal rows have
 equal results; a long text is read whole; of overlapping candidates the leftmost, then the first named kind counts; an empty
-table gives an empty result; pseudonymize() keeps all other columns.
+table gives an empty result; pseudonymize() keeps all other columns, of any names, but for one named found, which gives way.
 """
 
 from __future__ import annotations
@@ -24,11 +30,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import table
+from inkveil.functions.arrays import let
+from inkveil.llm.common import corpus, doc_id, hide, show
 
 ROUNDS = 8
-DAYS = 270  # squared: the days of the date domain
-EPOCH = "1900-01-01"
+WALK = 24
+CENTURY = (75, 487)  # multiplied: 36525 days
+#: Country codes (ITU E.164): of one and two digits; all others have three.
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+#: Of the registered query alone. Whoever knows the key can go back, so a real run passes its own.
+DEMO_KEY = "for tests only"
 _IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 _SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"
@@ -39,7 +50,7 @@ _PHONE_DIGIT = rf"(?:[ .-]?(?!{_IP}|{_SSN}|{_DATE}|{_CARD})[0-9])"
 _CARD_DIGIT = rf"(?:[ -]?(?!{_IP}|{_SSN}|{_DATE})[0-9])"
 #: kind: pattern of candidates, in order of precedence.
 PATTERNS = {
-    "email": r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9_%+-])(?<![A-Za-z0-9_%+-]\.)[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}",
     "ip": _IP,
     "ssn": _SSN,
     "date": _DATE,
@@ -51,10 +62,6 @@ PATTERNS = {
 RX = "|".join(PATTERNS.values())
 
 
-def let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _digest(key: str, kind: Column | str, i: int, x: Column) -> Column:
     """60 keyed bits of the round number and one half."""
     inner = F.sha2(F.concat(F.lit(f"{key}|{kind}|{i}|"), x.cast("string")).cast("binary"), 256)
@@ -125,8 +132,14 @@ def _card_in(m: Column) -> Column:
     return F.get(F.filter(F.array(*prefixes), lambda x: (x != "") & F.call_function("luhn_check", _digits(x))), F.lit(0))
 
 
+def _walk(m: Column, step, reads_back) -> Column:
+    """step(m), and steps on while the image would not be read back as it is; null if it never would."""
+    out = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), step(m), lambda s, _: F.when(reads_back(s), s).otherwise(step(s)))
+    return let(out, lambda s: F.when(reads_back(s), s))
+
+
 def _card(m: Column, key: str, back: bool) -> Column:
-    """The new card alone, without what follows it in m. Permuted again while it would be taken for a longer one there, so that the way back finds it."""
+    """The new card alone, without what follows it in m, which is also not to be taken for its end."""
 
     def new(d: Column) -> Column:
         n = F.length(d)
@@ -135,12 +148,11 @@ def _card(m: Column, key: str, back: bool) -> Column:
 
     step = lambda c: let(_digits(c), lambda d: _refill(c, new(d)))
 
-    def walk(c: Column) -> Column:
+    def of_card(c: Column) -> Column:
         rest = F.substring(m, F.length(c) + 1, F.length(m))
-        again = F.aggregate(F.sequence(F.lit(1), F.lit(24)), step(c), lambda s, _: F.when(_card_in(F.concat(s, rest)) == s, s).otherwise(step(s)))
-        return F.when(c == m, step(c)).when(c.isNotNull(), again)
+        return F.when(c == m, step(c)).when(c.isNotNull(), _walk(c, step, lambda s: _card_in(F.concat(s, rest)) == s))
 
-    return let(_card_in(m), walk)
+    return let(_card_in(m), of_card)
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
@@ -157,22 +169,36 @@ def _ip(m: Column, key: str, back: bool) -> Column:
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}?(?=[^0-9]|[0-9]{7,14}$)", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.when(F.length(code) > 0, let(_digits(rest), lambda d: F.when(F.length(d).between(7, 14), F.concat(code, _refill(rest, permute_digits(d, key, "phone", back))))))
+    code = F.regexp_extract(_digits(m), f"^(?:{COUNTRY})", 0)
 
+    def step(x: Column) -> Column:
+        """Digits behind the code, but for a trunk 0 in parentheses, permuted as one number."""
+        shape = F.replace(x, F.lit("(0)"), F.lit("(\x01)"))
+        return let(code, lambda c: let(F.substring(_digits(shape), F.length(c) + 1, F.length(m)), lambda d: F.replace(_refill(shape, F.concat(c, permute_digits(d, key, "phone", back))), F.lit("\x01"), F.lit("0"))))
 
-def _date(m: Column, key: str, back: bool) -> Column:
-    iso = F.when(m.rlike("^[0-9]{4}-"), m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
-    day = F.datediff(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), F.lit(EPOCH).cast("date"))
+    n = F.length(_digits(F.replace(m, F.lit("(0)"), F.lit("")))) - F.length(code)
+    return F.when(n.between(6, 14), _walk(m, step, lambda s: (F.regexp_extract(s, PATTERNS["phone"], 0) == s) & (s.contains("(0)") == m.contains("(0)"))))
 
-    def new(n: Column) -> Column:
-        out = permute(_pair(F.floor(n / DAYS), n % DAYS), F.lit(DAYS), F.lit(DAYS), key, "date", back)
-        shown = let(F.date_format(F.date_add(F.lit(EPOCH).cast("date"), let(out, lambda p: (p["a"] * DAYS + p["b"]).cast("int"))), "yyyy-MM-dd"), lambda t: t)
-        sep = F.substring(m, 3, 1)
-        return let(shown, lambda t: F.when(m.rlike("^[0-9]{4}-"), t).otherwise(F.concat(F.substring(t, 9, 2), sep, F.substring(t, 6, 2), sep, F.substring(t, 1, 4))))
 
-    return let(day, lambda n: F.when(n.between(0, DAYS * DAYS - 1), new(n)))
+def _date(m: Column, key: str, back: bool) -> Column:
+    day_of = lambda iso: F.datediff(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), F.lit("0001-01-01").cast("date"))
+    part = lambda at, n: F.substring(m, at, n)
+    sep = part(3, 1)
+    first = F.when(m.rlike("^[0-9]{4}-"), day_of(m)).otherwise(day_of(F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))))
+    american = F.when(~m.rlike("^[0-9]{4}-") & (sep == "/"), day_of(F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2))))
+    size = CENTURY[0] * CENTURY[1]
+
+    def step(n: Column) -> Column:
+        out = permute(_pair(F.floor(n % size / CENTURY[1]), n % size % CENTURY[1]), F.lit(CENTURY[0]), F.lit(CENTURY[1]), key, "date", back)
+        return let(out, lambda p: (F.floor(n / size) * size + p["a"] * CENTURY[1] + p["b"]).cast("int"))
+
+    iso = lambda n: F.date_format(F.date_add(F.lit("0001-01-01").cast("date"), n), "yyyy-MM-dd")
+    last = 3652058  # 9999-12-31
+    as_day = lambda n: let(iso(n), lambda t: F.when(m.rlike("^[0-9]{4}-"), t).otherwise(F.concat(F.substring(t, 9, 2), sep, F.substring(t, 6, 2), sep, F.substring(t, 1, 4))))
+    as_american = lambda n: let(iso(n), lambda t: F.concat(F.substring(t, 6, 2), sep, F.substring(t, 9, 2), sep, F.substring(t, 1, 4)))
+    plain = let(first, lambda n: F.when(n.isNotNull(), as_day(_walk(n, step, lambda x: x <= last))))
+    late = lambda x: F.when(x > last, False).otherwise(F.dayofmonth(F.date_add(F.lit("0001-01-01").cast("date"), F.least(x, F.lit(last)))) > 12)
+    return F.coalesce(plain, let(american, lambda n: F.when(n.isNotNull(), as_american(_walk(n, step, late)))))
 
 
 def _email(m: Column, key: str, back: bool) -> Column:
@@ -198,24 +224,29 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     return let(kind, made)
 
 
-def pseudonymize(docs: DataFrame, key: str = "inkveil", back: bool = False) -> DataFrame:
-    """docs with text rewritten, and found: array<struct<kind, of, to>> of what was replaced, in order."""
-    has = F.col("text").rlike(r"[0-9]@|@[A-Za-z0-9]|[0-9]")
-    matches = F.when(has, F.regexp_extract_all("text", F.lit(RX), F.lit(0)))
-    d = docs.withColumn("_m", matches)
-    d = d.withColumn("_f", F.transform("_m", lambda m: pseudonym(m, key, back)))
-    pieces = F.split(F.col("text").cast("string"), RX, -1)
-    spliced = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("_f", i)["to"], F.get("_f", i)["of"], F.lit("")), F.coalesce(F.substring(F.get("_m", i), F.length(F.get("_f", i)["of"]) + 1, F.length(F.get("_m", i))), F.lit("")))), "")
-    found = F.coalesce(F.filter("_f", lambda x: x["to"].isNotNull()), F.array().cast("array<struct<kind:string,of:string,to:string>>"))
-    return d.withColumn("text", F.when(F.size("_m") > 0, spliced).otherwise(F.col("text"))).withColumn("found", found).drop("_m", "_f")
+def pseudonymize(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
+    """docs with text rewritten, and found: array<struct<kind, of, to>> of what was replaced, in order. back undoes all but e-mails."""
+    hidden, names, text = hide(docs)
+    has = F.col(text).rlike("@[A-Za-z0-9]|[0-9]")
+    d = hidden.withColumn("m", F.when(has, F.regexp_extract_all(text, F.lit(RX), F.lit(0))))
+    d = d.withColumn("f", F.transform("m", lambda m: pseudonym(m, key, back)))
+
+    def piece(p: Column, i: Column) -> Column:
+        tail = lambda f, m: F.concat(p, F.coalesce(f["to"], f["of"]), F.substring(m, F.length(f["of"]) + 1, F.length(m)))
+        return F.when(i < F.size("m"), let(F.struct(F.get("f", i).alias("f"), F.get("m", i).alias("m")), lambda x: tail(x["f"], x["m"]))).otherwise(p)
+
+    spliced = F.array_join(F.transform(F.split(F.col(text).cast("string"), RX, -1), piece), "")
+    found = F.coalesce(F.filter("f", lambda x: x["to"].isNotNull()), F.array().cast("array<struct<kind:string,of:string,to:string>>"))
+    d = d.withColumn("found", found).withColumn("new", F.when(F.size("m") > 0, spliced).otherwise(F.col(text)))
+    return show(d, names, "found", **{text: "new"})
 
 
-def pii(docs: DataFrame, key: str = "inkveil") -> DataFrame:
+def pii(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, a count of each kind, and the rewritten text."""
-    d = pseudonymize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), key)
+    d = pseudonymize(docs.select(doc_id().alias("doc_id"), F.col("text").cast("string").alias("text")), key)
     n = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return d.select("doc_id", *(n(k) for k in PATTERNS), "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii(table(spark, sf_dir, "documents"))
+    return pii(corpus(spark, sf_dir), spark.conf.get("spark.inkveil.key", DEMO_KEY))
