@@ -7,12 +7,14 @@ and delete. A line is tested against its shard's filter and, only if that says "
 false positive removes a line. update() adds and takes away documents: counts change by the difference and a filter shard
 is touched only by keys that cross the threshold, which makes every removal reversible.
 
-Filters and hot keys are broadcast while their size, known before, is at most `broadcast_bytes`; beyond it the documents'
-keys are joined to the hot keys by a shuffle, and each document gets the hot keys that it has.
+Filters and hot keys are broadcast while their size, known before, is at most `broadcast_bytes`. Beyond it, the documents' keys
+meet the filter of their shard in a shuffle: a shard's keys are dealt over as many tasks as their number asks for, each with a copy of
+the filter, and what passes meets the exact table. clean() makes the tables for one corpus; LineLedger keeps them, and its clean() uses
+them for any documents.
 
 Cases: null or empty text is one empty line; keys shorter than min_chars never count and always stay; a document is a
 row, so rows that repeat a doc_id count one by one; a null doc_id is an id like another; an empty table gives an empty
-result; other columns are untouched.
+result; other columns are untouched, but for those named n_lines, n_dropped or kept, which give way in clean().
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.common import LOWER, Scratch, table
+from inkveil.llm.common import LOWER, Scratch, corpus, hide, join_spread, show
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 SHARD_KEYS = 1 << 15
 KICKS = 500
+PROBES = 1 << 20  # keys that meet a filter in one task
 SLICE = 200  # rows whose lines are in a worker's memory at once
 
 
@@ -113,11 +116,11 @@ def _long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (min_chars <= 1 or len(key.decode()) >= min_chars)
 
 
-def _text(docs: DataFrame):
-    return F.col("text").cast("string").cast("binary")
+def _bytes(text: str = "text"):
+    return F.col(text).cast("string").cast("binary")
 
 
-def doc_keys(docs: DataFrame, min_chars: int = 1, with_id: bool = True) -> DataFrame:
+def doc_keys(docs: DataFrame, min_chars: int = 1, with_id: bool = True, text: str = "text") -> DataFrame:
     """(doc_id, hi, lo): every document's distinct keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +139,7 @@ def doc_keys(docs: DataFrame, min_chars: int = 1, with_id: bool = True) -> DataF
                 yield pa.record_batch(columns, ["doc_id"] * with_id + ["hi", "lo"])
 
     own = [F.col("doc_id").cast("long").alias("doc_id")] * with_id
-    return docs.select(*own, _text(docs).alias("text")).mapInArrow(run, "doc_id long, " * with_id + "hi long, lo long")
+    return docs.select(*own, _bytes(text).alias("text")).mapInArrow(run, "doc_id long, " * with_id + "hi long, lo long")
 
 
 def counts(keys: DataFrame) -> DataFrame:
@@ -198,55 +201,78 @@ def _clean(text: bytes | None, hot, min_chars: int) -> tuple[int, int, bytes]:
 OUT = "n_lines long, n_dropped long, kept string"
 
 
-def clean(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """All columns of docs, and n_lines, n_dropped, kept (the text without the lines whose key min_docs rows have)."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lines")
-    hot = scratch.keep(counts(doc_keys(docs, min_chars, with_id=False)).where(F.col("n") >= min_docs))
-    n = hot.count()
-    shards = max(1, -(-n // SHARD_KEYS))
-    names = docs.columns
-    hidden = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), _text(docs).alias("_text"))
-    out = T.StructType([*hidden.schema.fields[:-1], *T._parse_datatype_string(OUT).fields])
-    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)] + ["n_lines", "n_dropped", "kept"]
+def _marked(hidden: DataFrame, text: str, hot: DataFrame, cells: DataFrame, shards: int, min_chars: int, broadcast_bytes: int, scratch: Scratch) -> DataFrame:
+    """hidden with n_lines, n_dropped and kept, for kept tables hot (hi, lo, n) and cells (shard, cells)."""
+    spark, n = hidden.sparkSession, hot.count()
     if n * 40 <= broadcast_bytes:
-        cells = {r.shard: bytes(r.cells) for r in filters(hot, shards).collect()} if n else {}
-        exact = hot.select("hi", "lo").toPandas()
-        known = spark.sparkContext.broadcast((shards, cells, exact.hi.to_numpy(np.int64), exact.lo.to_numpy(np.int64)))
+        filled = {r.shard: bytes(r.cells) for r in cells.where("cells is not null").collect()} if n else {}
+        exact = hot.select("hi", "lo").toArrow()
+        known = spark.sparkContext.broadcast((shards, filled, exact["hi"].to_numpy(), exact["lo"].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = HotKeys(*known.value)
             for b in batches:
                 for at in range(0, b.num_rows, SLICE):
                     part = b.slice(at, SLICE)
-                    rows = [_clean(t, test, min_chars) for t in part.column(part.num_columns - 1).to_pylist()]
-                    yield _rows(part, rows)
-
-        return hidden.mapInArrow(run, out).select(*back)
-    # Beyond the bound: documents are told apart by a hash of their text, which repeats share with the same outcome.
-    keyed = hidden.withColumn("_h", F.xxhash64("_text"))
-    own = doc_keys(keyed.select(F.col("_h").alias("doc_id"), F.col("_text").cast("string").alias("text")), min_chars).distinct()
-    probes = own.withColumn("shard", _shard(shards))
-    maybe = probes.groupBy("shard").cogroup(filters(hot, shards).groupBy("shard")).applyInArrow(_probe, "doc_id long, hi long, lo long")
-    found = maybe.join(hot.select("hi", "lo"), ["hi", "lo"], "left_semi")
-    per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("_hot")).withColumnRenamed("doc_id", "_h")
-    joined = keyed.join(per_doc, "_h", "left").drop("_h")
+                    yield _rows(part, [_clean(t, test, min_chars) for t in part.column(part.num_columns - 1).to_pylist()])
+
+        given = hidden.withColumn("bytes", _bytes(text))
+        return given.mapInArrow(run, T.StructType([*hidden.schema.fields, *T._parse_datatype_string(OUT).fields]))
+    numbered = scratch.keep(hidden.withColumn("row", F.monotonically_increasing_id()))
+    probes = scratch.keep(doc_keys(numbered.withColumn("doc_id", F.col("row")), min_chars, text=text).withColumn("shard", _shard(shards)))
+    parts = F.broadcast(probes.groupBy("shard").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("parts")))  # 12 bytes for each SHARD_KEYS hot keys
+    asked = probes.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    copies = cells.where("cells is not null").join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cells")
+    maybe = asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_probe, "doc_id long, hi long, lo long")
+    found = join_spread(maybe, hot, ["hi", "lo"])
+    per_doc = found.groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("hi", "lo")).alias("hot"))  # a document's own lines at most
+    joined = numbered.join(per_doc, "row", "left").drop("row").withColumn("bytes", _bytes(text))
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t, own in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                have = {(x["hi"], x["lo"]) for x in own or ()}
-                rows.append(_clean(t, lambda hi, lo: np.array([x in have for x in zip(hi.tolist(), lo.tolist())], bool), min_chars))  # noqa: B023
-            yield _rows(b.select(range(b.num_columns - 1)), rows)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                rows = []
+                for t, own in zip(part.column(part.num_columns - 1).to_pylist(), part.column(part.num_columns - 2).to_pylist()):
+                    have = {(x["hi"], x["lo"]) for x in own or ()}
+                    rows.append(_clean(t, lambda hi, lo: np.array([x in have for x in zip(hi.tolist(), lo.tolist())], bool), min_chars))  # noqa: B023
+                yield _rows(part.select([*range(part.num_columns - 2), part.num_columns - 1]), rows)
+
+    return joined.mapInArrow(apart, T.StructType([*hidden.schema.fields, *T._parse_datatype_string(OUT).fields]))
 
-    return joined.mapInArrow(apart, out).select(*back)
+
+def _tables(docs: DataFrame, text: str, min_docs: int, min_chars: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """The hot keys (hi, lo, n), their filters (shard, cells) and the number of shards."""
+    hot = scratch.keep(counts(doc_keys(docs, min_chars, with_id=False, text=text)).where(F.col("n") >= min_docs))
+    shards = max(1, -(-hot.count() // SHARD_KEYS))
+    return hot, scratch.keep(filters(hot, shards)), shards
+
+
+def clean(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """All columns of docs, and n_lines, n_dropped, kept (the text without the lines whose key min_docs rows have)."""
+    hidden, names, text = hide(docs)
+    scratch = Scratch(docs.sparkSession, "lines")
+    marked = _marked(hidden, text, *_tables(hidden, text, min_docs, min_chars, scratch), min_chars, broadcast_bytes, scratch)
+    return show(marked, names, "n_lines", "n_dropped", "kept")
+
+
+def rewrite(docs: DataFrame, n_chars: str | None = None, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """docs, of the same columns, with text cut to the lines that stay (null stays null); n_chars names a column that follows its length."""
+    hidden, names, text = hide(docs)
+    scratch = Scratch(docs.sparkSession, "lines")
+    marked = _marked(hidden, text, *_tables(hidden, text, min_docs, min_chars, scratch), min_chars, broadcast_bytes, scratch)
+    new = {text: F.when(F.col(text).isNotNull(), F.col("kept"))}
+    if n_chars and n_chars.lower() in (lower := [n.lower() for n in names]):
+        at = f"c{lower.index(n_chars.lower())}"
+        new[at] = F.length("kept").cast(hidden.schema[at].dataType)
+    return show(marked, names, **new)
 
 
 def _probe(probes, cells):
     if not (cells.num_rows and probes.num_rows):
         return probes.select(["doc_id", "hi", "lo"]).slice(0, 0)
     f = CuckooFilter.load(cells["cells"][0].as_py())
-    return probes.select(["doc_id", "hi", "lo"]).filter(pa.array(f.contains(probes["hi"].to_numpy(), probes["lo"].to_numpy())))
+    return probes.select(["doc_id", "hi", "lo"]).filter(pa.chunked_array([pa.array(f.contains(probes["hi"].to_numpy(), probes["lo"].to_numpy()))]))
 
 
 def _rows(b: pa.RecordBatch, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -274,8 +300,9 @@ class LineLedger:
         """The ledger with the documents added and those of removed_ids (doc_id) gone; the inverse call restores it."""
         s = Scratch(self.spark, "ledger")
         more = doc_keys(added, self.min_chars) if added is not None else self.keys.limit(0)
-        ids = removed_ids.select("doc_id").distinct() if removed_ids is not None else self.keys.select("doc_id").limit(0)
-        less = self.keys.join(ids, "doc_id", "left_semi")
+        ids = (removed_ids if removed_ids is not None else self.keys.limit(0)).select(F.col("doc_id").cast("long").alias("gone")).distinct()
+        same = self.keys["doc_id"].eqNullSafe(F.col("gone"))
+        less = self.keys.join(ids, same, "left_semi")
         delta = more.select("hi", "lo", F.lit(1).alias("d")).unionAll(less.select("hi", "lo", F.lit(-1).alias("d"))).groupBy("hi", "lo").agg(F.sum("d").alias("d"))
         new = s.keep(self.counts.join(delta, ["hi", "lo"], "full").select("hi", "lo", F.coalesce("n", F.lit(0)).alias("was"), (F.coalesce("n", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n")))
         m = self.min_docs
@@ -294,9 +321,16 @@ class LineLedger:
         left = new.where("n > 0").select("hi", "lo", "n")
         if cells.where("cells is null").count():  # a shard ran full: new filters from the exact table
             cells = s.keep(filters(left.where(F.col("n") >= m), shards))
-        keys = s.keep(self.keys.join(ids, "doc_id", "left_anti").unionAll(more))
+        keys = s.keep(self.keys.join(ids, same, "left_anti").unionAll(more))
         return LineLedger(self.spark, keys, s.keep(left), cells, shards, m, self.min_chars)
 
+    def clean(self, docs: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+        """As clean(), by the counts and filters of the ledger instead of the documents' own."""
+        hidden, names, text = hide(docs)
+        s = Scratch(self.spark, "lines")
+        hot = s.keep(self.counts.where(F.col("n") >= self.min_docs))
+        return show(_marked(hidden, text, hot, self.cells, self.shards, self.min_chars, broadcast_bytes, s), names, "n_lines", "n_dropped", "kept")
+
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """The digest: doc_id, n_lines, n_dropped, kept_sha256."""
@@ -304,18 +338,17 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup(corpus(spark, sf_dir))
 
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
-  FROM documents),
-keyed AS (SELECT doc_id, i, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_BLANKS}) AS k FROM lines),
-hot AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT d, doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM docs),
+keyed AS (SELECT d, doc_id, i, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_BLANKS}) AS k FROM lines),
+hot AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT d) >= 10),
 marked AS (SELECT keyed.*, hot.k IS NOT NULL AS gone FROM keyed LEFT JOIN hot USING (k))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY d, doc_id
 """
