@@ -1,107 +1,173 @@
 """Secret scans over an incremental blob ledger, in DataFrame and SQL functions only.
 
-Every text is content-addressed by its SHA-256. The ledger says which (blob, rule version) pairs have been scanned and what
-was found; a scan reads only pairs that it lacks, each distinct blob once, and joins the findings back to all paths (rows)
-that hold the blob. Blobs without any trigger of any rule are scanned by that test alone. Groups of equal blobs are merged
-before the shuffle, so a blob that very many paths share is one row from each task.
+Every version of a text is content-addressed by its SHA-256. The ledger has a row for each time a blob was scanned: the rule versions it
+was then put through, and the spans they found. A scan looks up which pairs of blob and rule version the ledger lacks, runs those
+rules alone on those blobs alone (each distinct blob once), and appends. Findings are joined back to all paths (rows) that hold a
+blob; spans of rule versions that are no longer current are left out, so they stay in the ledger without showing.
+
+A blob is read by a rule only if one of the rule's triggers is in it. Groups of equal blobs are merged before the shuffle, and a blob that
+very many paths share meets them in many tasks.
 
 Spans count code points and exclude their end. Base rules are assign, access and hex; the others add spans.
 
 Cases: null text is empty text (no secrets); rows that repeat a doc_id stay rows; a null doc_id stays null; overlapping spans
-of different rules are all reported; equal starts go by the order of the rules; an empty table gives an empty result; other
+of different rules are all reported; equal starts go by the order of the rules, then the end; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Scratch, table
-
-#: (kind, version, pattern, group whose length counts, least length). (?i) is ASCII only here, and \x20 a blank.
-RULES = [
-    ("assign", 1, r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
-    ("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", 1, r"[0-9a-f]+", 0, 24),
-    ("pem", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]{0,20}PRIVATE KEY-----", 0, 0),
-    ("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
-    ("forge", 1, r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,})", 0, 0),
-    ("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
-    ("urlpass", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"']{1,64}:[^\s/:@\"']{3,64}@[A-Za-z0-9.-]+", 0, 0),
-]
-SPANS = "array<struct<start:int,end:int,at:int,kind:string>>"
+from inkveil.functions.arrays import let, running
+from inkveil.llm.common import Scratch, corpus, doc_id, join_spread
+
+
+class Rule(NamedTuple):
+    kind: str
+    version: int
+    pattern: str
+    trigger: str  # a text in which this is not found has no match
+    group: int = 0  # whose length counts
+    least: int = 0
+
+    @property
+    def mark(self) -> str:
+        return f"{self.kind}@{self.version}"
+
+
+_WORDS = "password|passwd|secret|token|api_?key"
+#: (?i) folds ASCII only here, and blanks are spelled out, so the patterns mean the same in any engine.
+RULES = (
+    Rule("assign", 1, rf"""(?i:{_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", f"(?i:{_WORDS})", 1, 6),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", "AKIA", 0, 20),
+    Rule("hex", 1, r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]{16,}?-----END [A-Z ]{0,20}PRIVATE KEY-----", "PRIVATE KEY"),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
+    Rule("forge", 1, r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,})", "gh[pousr]_|github_pat_|glpat-"),
+    Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-"),
+    Rule("urlpass", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\x09-\x0D\x20/:@\"']{1,64}:[^\x09-\x0D\x20/:@\"']{3,64}@[A-Za-z0-9.-]+", "://"),
+)
+SPAN = "struct<start:int,at:int,end:int,kind:string,version:int>"
+LEDGER = f"blob string, scanned array<string>, spans array<{SPAN}>"
 BASE = ("assign", "access", "hex")
-#: A text in which none of these occurs has no span of any rule.
-TRIGGER = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|PRIVATE KEY|eyJ|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|://"
 
 
-def _spans(rule: tuple) -> Column:
-    """array<struct<start, end, at, kind>> of a rule, leftmost and not overlapping; offsets come from the text between matches."""
-    kind, _, pattern, group, least = rule
-    rx = F.lit(pattern)
-    whole = F.regexp_extract_all("text", rx, F.lit(0))
-    counted = F.regexp_extract_all("text", rx, F.lit(group)) if group else whole
-    gaps = F.transform(F.split("text", pattern, -1), lambda x: F.length(x))
-    at = next(i for i, r in enumerate(RULES) if r[0] == kind)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
+def _spans(text: Column, rule: Rule, at: int) -> Column:
+    """array<SPAN> of a rule, leftmost and not overlapping; offsets are running sums over the text between matches and the matches."""
+    rx = F.lit(rule.pattern)
+    none = F.array().cast(f"array<{SPAN}>")
+    size = lambda x: F.length(x)
 
-    def step(acc: Column, m: Column) -> Column:
-        s = acc["pos"] + m["gap"]
-        e = s + m["size"]
-        span = F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(at).alias("at"), F.lit(kind).alias("kind"))
-        return F.struct(e.alias("pos"), F.when(m["counted"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, rx, F.lit(-1)), F.lit(1), F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+        counted = F.transform(F.regexp_extract_all(text, rx, F.lit(rule.group)), size) if rule.group else F.transform(found, size)
 
-    sizes = lambda a: F.transform(a, lambda x: F.length(x))
-    rows = F.arrays_zip(sizes(whole).alias("size"), sizes(counted).alias("counted"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gap"))
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+        def struct(m: Column) -> Column:
+            return F.struct((m["end"] - m["size"]).cast("int").alias("start"), F.lit(at).alias("at"), m["end"].cast("int").alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"))
 
+        rows = F.arrays_zip(running(steps).alias("end"), F.transform(found, size).alias("size"), counted.alias("counted"))
+        return F.when(F.size(found) > 0, F.transform(F.filter(rows, lambda m: m["counted"] >= rule.least), struct)).otherwise(none)
 
-def address(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs and blob, the content address of the text (null: of the empty text)."""
-    return docs.withColumn("blob", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
-
+    return F.when(text.rlike(rule.trigger), let(F.regexp_extract_all(text, rx, F.lit(0)), placed)).otherwise(none)
 
-def _mark(rules: list[tuple]) -> str:
-    return "*" + ",".join(f"{r[0]}:{r[1]}" for r in rules)
-
-
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: list[tuple] = RULES, addresses: DataFrame | None = None) -> DataFrame:
-    """The rows that the ledger lacks, for versions (blob, text): one for each (blob, rule, version) with spans, and one for each
-    newly seen blob whose rule lists the rule versions that it has now been through. addresses: the versions' blobs, if at hand.
-    """
-    blobs = (versions if addresses is None else addresses).select("blob").distinct()
-    todo = versions.select("blob", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("text").rlike(TRIGGER))
-    if ledger is not None:
-        done = ledger.where(F.col("rule") == _mark(rules)).select("blob").distinct()
-        blobs, todo = blobs.join(done, "blob", "left_anti"), todo.join(done, "blob", "left_anti")
-    texts = todo.groupBy("blob").agg(F.first("text").alias("text"))
-    found = texts.select("blob", F.explode(F.array(*(F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("version"), _spans(r).alias("spans")) for r in rules))).alias("r"))
-    found = found.select("blob", "r.rule", "r.version", "r.spans").where(F.size("spans") > 0)
-    if ledger is not None:
-        found = found.join(ledger.select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
-    return found.unionAll(blobs.select("blob", F.lit(_mark(rules)).alias("rule"), F.lit(0).alias("version"), F.lit(None).cast(SPANS).alias("spans")))
 
+def address(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with text (null: empty) and blob, its content address."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.withColumn("text", whole).withColumn("blob", F.sha2(whole.cast("binary"), 256))
 
-def findings(ledger: DataFrame) -> DataFrame:
-    """(blob, spans): all that the ledger knows of each blob, in order."""
-    rows = ledger.where(~F.col("rule").startswith("*"))
-    return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row for each rule at most
 
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, addresses: DataFrame | None = None) -> DataFrame:
+    """The ledger's new rows, for versions (blob, text): blob, the rule versions it had not been through, and what they found.
 
-def secret_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    scratch = Scratch(docs.sparkSession, "secrets")
-    paths = scratch.keep(address(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "blob"))
-    ledger = scratch.keep(scan(address(docs.select("text")), addresses=paths))
-    all_ = paths.join(findings(ledger), "blob", "left").withColumn("s", F.coalesce("spans", F.array().cast(SPANS)))
+    addresses: the versions' blobs, if at hand in a kept table."""
+    current = F.array(*(F.lit(r.mark) for r in rules)) if rules else F.array().cast("array<string>")
+    todo = (versions if addresses is None else addresses).select("blob").distinct().withColumn("scanned", current)
+    if ledger is not None:
+        done = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("done"))  # rule versions of one blob
+        left = F.array_except("scanned", F.coalesce("done", F.array().cast("array<string>")))
+        todo = todo.join(done, "blob", "left").select("blob", left.alias("scanned")).where(F.size("scanned") > 0)
+    some = versions.where(F.col("text").rlike("|".join(r.trigger for r in rules) or "(?!)"))
+    texts = some.groupBy("blob").agg(F.first("text").alias("text"))
+    both = todo.join(texts, "blob", "left")
+    none = F.array().cast(f"array<{SPAN}>")
+    found = [F.when(F.array_contains("scanned", r.mark) & F.col("text").isNotNull(), _spans(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return both.select("blob", "scanned", (F.concat(*found) if found else none).alias("spans"))
+
+
+def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans): what the current rule versions found in each blob that they found anything in, by start, then rule, then end."""
+    kept = F.filter("spans", lambda s: F.concat_ws("@", s["kind"], s["version"].cast("string")).isin([r.mark for r in rules]))
+    rows = ledger.select("blob", kept.alias("spans")).where(F.size("spans") > 0)
+    return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row for each scan of the blob
+
+
+class Ledger:
+    """The ledger as a Parquet folder that all executors reach. update() appends what is missing, and may be called again after a failure."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or Scratch(spark, "ledger").path
+
+    def read(self) -> DataFrame | None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(LEDGER).parquet(self.path) if there else None
+
+    def update(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, addresses: DataFrame | None = None) -> None:
+        scan(versions, self.read(), rules, addresses).write.mode("append").parquet(self.path)
+
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        return findings(self.read(), rules)
+
+
+def secret_scan(docs: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans. path: of the ledger, which is used and brought up to date; by default an
+    empty one in the session's shared folder."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "secrets")
+    versions = address(docs.select(doc_id().alias("doc_id"), "text"))
+    paths = scratch.keep(versions.select("doc_id", "blob"))
+    ledger = Ledger(spark, path)
+    ledger.update(versions, rules, paths)
+    found = scratch.keep(ledger.findings(rules).join(paths.groupBy("blob").agg(F.count("*").alias("n")), "blob"))
+    all_ = join_spread(paths, found, ["blob"], "left").withColumn("s", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    # struct order sorts by start, then end; the digest wants start, then rule
-    order = lambda a: F.array_sort(a, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["at"] - y["at"]))
-    base = order(F.filter("s", lambda x: x["kind"].isin(*BASE)))
-    return all_.select("doc_id", *(n(k) for k in BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(order(F.col("s"))).alias("spans"))
+    base = F.filter("s", lambda x: x["kind"].isin(*BASE))
+    return all_.select("doc_id", *(n(k) for k in BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(table(spark, sf_dir, "documents"))
+    return secret_scan(corpus(spark, sf_dir))
+
+
+def _sql(rules: tuple[Rule, ...]) -> str:
+    def of(at: int, r: Rule) -> str:
+        rx = r.pattern.replace("'", "''")
+        whole = f"regexp_extract_all(text, '{rx}')"
+        counted = f"regexp_extract_all(text, '{rx}', {r.group})"
+        gaps = f"regexp_split_to_array(text, '{rx}')"
+        rows = f"SELECT d, text, {whole} AS m, {counted} AS c, {gaps} AS g FROM docs"
+        ends = f"SELECT d, unnest(range(1, len(m) + 1)) AS i, m, c, g FROM ({rows})"
+        end = "list_sum(list_transform(g[:i], lambda x: length(x))) + list_sum(list_transform(m[:i], lambda x: length(x)))"
+        return f"SELECT d, {at} AS rule, '{r.kind}' AS kind, {end} - length(m[i]) AS s, {end} AS e FROM ({ends}) WHERE length(c[i]) >= {r.least}"
+
+    spans = " UNION ALL ".join(of(i, r) for i, r in enumerate(rules))
+    base = ", ".join(f"'{k}'" for k in BASE)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({spans}),
+named AS (SELECT *, kind || ':' || s::BIGINT || ':' || e::BIGINT AS name FROM spans),
+per AS (
+  SELECT d, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
+         string_agg(name, ',' ORDER BY s, rule, e) FILTER (kind IN ({base})) AS base, string_agg(name, ',' ORDER BY s, rule, e) AS spans
+  FROM named GROUP BY d)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per USING (d)
+"""
+
+
+SQL = _sql(RULES)
