@@ -6,13 +6,15 @@ registered domain, the suffix and all pages, and each level's prior is smoothed
 `strength`); a page's own share is taken out of its host's sum first, so no page is evidence for itself. The final posterior
 joins text, declaration and prior.
 
-The models are fitted on at most `per_language` documents of each language (least hash of the id), a documented bound; all
-pages are scored, whole, and all pages count in the priors. Sums over hosts are pre-aggregated before the shuffle, and the
-join back to pages is on the host with its skew left to the adaptive join.
+The models are fitted on all documents of a language of up to 4 * `per_language`, else on about 2 * `per_language` (those below a
+cut-off of a hash, the same in every task; equal texts count once), a documented bound; their trigrams are counted in the tasks. All pages are
+scored, whole, and all pages count in the priors. Sums over hosts are pre-aggregated before the shuffle, and a host of very many pages
+meets them in many tasks.
 
 Cases: null or empty html has no text evidence; a missing or unknown declaration is no evidence; a null or odd url has the
 empty host, which is a host like another; ties go to the first language in order; null page_ids and repeated rows stay; without
-training documents every language column is null; an empty table gives an empty result; other columns are ignored.
+training documents every language column is null; more than 1000 languages are an error; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Scratch, table
+from inkveil.llm.common import Scratch, corpus, join_spread
 
 BUCKETS = 1 << 14
 MULT = np.uint64(0x9E3779B97F4A7C15)
+MOST_LANGUAGES = 1000
+#: Second-level labels under which countries register names.
+SECOND = "ac|co|com|edu|go|gob|gov|gouv|mil|ne|net|nom|or|org"
 
 
 def _codes(text: bytes | None) -> np.ndarray:
@@ -39,14 +44,37 @@ def _codes(text: bytes | None) -> np.ndarray:
     return ((key * MULT) >> np.uint64(50)).astype(np.int64)
 
 
+def sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text): the texts to fit on."""
+    rows = docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    cut = {lang: int(2**64 * (2 * per_language / n)) - 2**63 for lang, n in sizes.items() if n > 4 * per_language}
+    below = F.lit(True)
+    for lang, most in cut.items():
+        below = F.when(F.col("lang") == lang, F.col("h") < most).otherwise(below)
+    return rows.withColumn("h", F.xxhash64("text")).where(below).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def fit(docs: DataFrame, per_language: int = 400) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-likelihoods (language, bucket)."""
-    langs = sorted(r.lang for r in docs.select("lang").where("lang is not null").distinct().collect())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[lang] = sums.get(lang, 0) + np.bincount(_codes(text), minlength=BUCKETS)
+        for lang, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+
+    langs = sorted(r.lang for r in docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang")).distinct().collect())
+    chosen = sample(docs, per_language).select("lang", F.col("text").cast("binary").alias("text"))
+    got = chosen.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages * BUCKETS rows at most
     counts = np.ones((len(langs), BUCKETS))
-    for i, lang in enumerate(langs):
-        chosen = docs.where(F.col("lang") == lang).select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "text").limit(per_language)
-        for r in chosen.toLocalIterator():
-            np.add.at(counts[i], _codes((r.text or "").encode()), 1)
+    place = {lang: i for i, lang in enumerate(langs)}
+    np.add.at(counts, ([place[x] for x in got["lang"].to_pylist()], got["bucket"].to_numpy()), got["n"].to_numpy())
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -60,6 +88,11 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def domain_of(host: Column) -> Column:
+    """The registered domain: the last two labels, or three under a country's second-level label (bbc.co.uk); the host if it has one."""
+    return F.regexp_extract(host, rf"[^.]+\.(?:{SECOND})\.[a-z]{{2}}$|[^.]+\.[^.]+$|^[^.]*$", 0)
+
+
 def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], weight: int = 200) -> DataFrame:
     """page_id, host, domain, suffix, declared, ll: the text's log-likelihoods, each page counting for at most `weight` trigrams."""
     known = pages.sparkSession.sparkContext.broadcast(model)
@@ -77,7 +110,7 @@ def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], weight: int
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         host.alias("host"),
-        F.regexp_extract(host, r"([^.]+\.[^.]+)$|(^.*$)", 0).alias("domain"),
+        domain_of(host).alias("domain"),
         F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"),
         F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1)).alias("declared"),
         visible(F.coalesce(F.col("html").cast("string"), F.lit(""))).cast("binary").alias("text"),
@@ -106,9 +139,9 @@ def identify(pages: DataFrame, docs: DataFrame, trust: float = 0.9, strength: fl
     rest = (1 - trust) / max(1, n - 1)
     said = [F.when(F.col("declared") == lang, math.log(trust)).when(F.col("declared").isin(*langs), math.log(rest)).otherwise(0.0) for lang in langs]
     rows = rows.select("page_id", "host", "domain", "suffix", "declared", "ll", *(p.alias(f"p{i}") for i, p in enumerate(_softmax([a + b for a, b in zip(ll, said)]))))
-    sums = lambda d, *by: d.groupBy(*by).agg(*(F.sum(f"p{i}").alias(f"p{i}") for i in range(n)))
-    hosts = scratch.keep(sums(rows, "host", "domain", "suffix"))
-    domains, suffixes = sums(hosts, "domain", "suffix"), scratch.keep(sums(hosts, "suffix"))
+    sums = lambda d, *by: d.groupBy(*by).agg(F.sum("n").alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(n)))
+    hosts = scratch.keep(sums(rows.withColumn("n", F.lit(1)), "host", "domain", "suffix"))
+    domains, suffixes = scratch.keep(sums(hosts, "domain", "suffix")), scratch.keep(sums(hosts, "suffix"))
     every = suffixes.agg(*(F.coalesce(F.sum(f"p{i}"), F.lit(0.0)).alias(f"p{i}") for i in range(n))).first()
     base = [(every[i] + strength / n) / (sum(every) + strength) for i in range(n)]
 
@@ -118,10 +151,13 @@ def identify(pages: DataFrame, docs: DataFrame, trust: float = 0.9, strength: fl
 
     p = [F.col(f"p{i}") for i in range(n)]
     q = [F.col(f"q{i}") for i in range(n)]
-    suffixes = suffixes.select("suffix", *(x.alias(f"q{i}") for i, x in enumerate(smooth(p, [F.lit(b) for b in base]))))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", *(x.alias(f"q{i}") for i, x in enumerate(smooth(p, q))))
-    prior = hosts.join(domains, ["domain", "suffix"]).select("host", *(F.col(f"p{i}").alias(f"h{i}") for i in range(n)), *q)
-    final = rows.join(prior, "host")
+    named = lambda cols: [x.alias(f"q{i}") for i, x in enumerate(cols)]
+    counted = lambda d, low, *by: low.groupBy(*by).agg(F.count("*").alias("n")).join(d, [*by])  # noqa: E731  how many rows of the level below meet one of d
+    top = scratch.keep(counted(suffixes.select("suffix", *named(smooth(p, [F.lit(b) for b in base]))), domains, "suffix"))
+    middle = join_spread(domains.drop("n"), top, ["suffix"]).select("domain", "suffix", *named(smooth(p, q)))
+    middle = scratch.keep(counted(middle, hosts, "domain", "suffix"))
+    prior = scratch.keep(join_spread(hosts.select("host", "domain", "suffix", F.col("n").alias("pages"), *p), middle, ["domain", "suffix"]).select("host", F.col("pages").alias("n"), *(x.alias(f"h{i}") for i, x in enumerate(p)), *q))
+    final = join_spread(rows, prior, ["host"])
     own = [F.greatest(F.col(f"h{i}") - F.col(f"p{i}"), F.lit(0.0)) for i in range(n)]
     post = _softmax([a + b + F.log(c) for a, b, c in zip(ll, said, smooth(own, q))])
     best = F.array_max(F.array(*(F.struct(x.alias("p"), F.lit(-i).alias("i")) for i, x in enumerate(post))))
@@ -131,4 +167,4 @@ def identify(pages: DataFrame, docs: DataFrame, trust: float = 0.9, strength: fl
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return identify(corpus(spark, sf_dir, "pages"), corpus(spark, sf_dir))
