@@ -8,17 +8,17 @@ exactly, shingle by shingle, over the window's size.
 
 The texts are read once: a first pass finds, per document, the places of all benchmark shingles (few) and writes them to
 the shared folder; frequencies, join and verification work on that table. The benchmark goes to the executors in blocks of
-at most `block_bytes` of text (the size is measured first); each further block is a further pass, with the same results.
+at most `block_bytes` of text (the size is measured first), which become about 30 times as much in memory at worst, where all words
+differ; with several blocks rows are numbered and kept first, each block is a pass over them, and spans and items of a row are put together.
 
 Cases: null text has no words and is clean; null or empty items have no windows; items with equal text all count; a document
 is a row, so repeated rows give repeated results; a null doc_id stays null; a null item_id is listed as an empty string;
-empty tables give empty or clean results; other columns are ignored (drop_contaminated keeps them).
+empty tables give empty or clean results; other columns are ignored (drop_contaminated keeps them, whatever their names).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import ALNUM, Scratch, table
+from inkveil.llm.common import ALNUM, Scratch, corpus, doc_id, hide, show, table
 
 WINDOW, SHINGLE = 10, 5
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -38,40 +38,36 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Items:
-    """A block of benchmark items: vocabulary, shingles by size, windows as runs of shingle numbers."""
+    """A block of benchmark items: their words and shingles as numbers, laid end to end, and windows as places in that row.
+
+    A window of `size` words that starts at word w has the shingles number[w], number[w + 1], ..., of `part` words each."""
 
     def __init__(self, rows: list[tuple[str, bytes]], window: int, shingle: int):
         self.names = [name for name, _ in rows]
         self.vocab: dict[bytes, int] = {}
-        number: dict[tuple[int, ...], int] = {}
-        self.sizes: list[int] = []
-        windows: dict[tuple[int, tuple[int, ...]], list[int]] = {}
-        for item, (_, text) in enumerate(rows):
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            if not ids:
-                continue
-            size = min(window, len(ids))
-            part = min(shingle, size)
-            for at in range(len(ids) - size + 1):
-                run = []
-                for i in range(at, at + size - part + 1):
-                    key = tuple(ids[i : i + part])
-                    if key not in number:
-                        number[key] = len(number)
-                        self.sizes.append(part)
-                    run.append(number[key])
-                own = windows.setdefault((size, tuple(run)), [])
-                if not own or own[-1] != item:
-                    own.append(item)
-        self.windows = [(size, run, items) for (size, run), items in windows.items()]
-        self.n = len(number)
-        self.tables = {}
-        for part in set(self.sizes):
-            keys = np.array([k for k in number if len(k) == part], np.int64)
-            nums = np.array([number[tuple(k)] for k in keys.tolist()], np.int64)
+        ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], np.int32) for _, text in rows]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        begin, flat = np.cumsum(lengths) - lengths, np.concatenate([*ids, np.zeros(shingle, np.int32)])
+        self.number, self.tables, self.n = np.full(len(flat), -1, np.int32), {}, 0
+        starts, items = [], []
+        part_of = np.minimum(np.minimum(lengths, window), shingle)
+        for part in sorted({int(p) for p in part_of if p}):
+            own = np.flatnonzero(part_of == part)
+            at = np.concatenate([np.arange(begin[i], begin[i] + lengths[i] - part + 1) for i in own])
+            keys, number = np.unique(np.stack([flat[at + i] for i in range(part)], axis=1), axis=0, return_inverse=True)
+            self.number[at] = self.n + number.ravel()
             mixed = self._mix(keys.T)
             order = np.argsort(mixed, kind="stable")
-            self.tables[part] = (mixed[order], keys[order], nums[order])
+            self.tables[part] = (mixed[order], keys[order], (self.n + order).astype(np.int32))
+            self.n += len(keys)
+        for i in np.flatnonzero(lengths):
+            n = lengths[i] - min(window, lengths[i]) + 1
+            starts.append(np.arange(begin[i], begin[i] + n))
+            items.append(np.full(n, i))
+        self.starts = np.concatenate([*starts, np.zeros(0, np.int64)]).astype(np.int32)
+        self.items = np.concatenate([*items, np.zeros(0, np.int64)]).astype(np.int32)
+        self.sizes = np.minimum(lengths, window)[self.items].astype(np.int32)
+        self.runs = (self.sizes - part_of[self.items] + 1).astype(np.int32)  # shingles of each window
 
     @staticmethod
     def _mix(columns) -> np.ndarray:
@@ -114,31 +110,42 @@ class Items:
         order = np.argsort(at, kind="stable")
         return at[order], num[order]
 
-    def prefixes(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """shingle number -> (window number, offset) of the windows whose rarest shingle it is."""
-        out = defaultdict(list)
-        for w, (_, run, _) in enumerate(self.windows):
-            offset = min(range(len(run)), key=lambda i: (frequency.get(run[i], 0), run[i], i))
-            out[run[offset]].append((w, offset))
-        return dict(out)
-
-    def join(self, prefixes: dict[int, list[tuple[int, int]]], n_words: int, at: list[int], num: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
+    def prefixes(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows in the order of their rarest shingle (by frequency, then number), where it stands in them, and where each
+        shingle's windows begin."""
+        best, offset = np.full(len(self.starts), np.iinfo(np.int64).max), np.zeros(len(self.starts), np.int32)
+        rank = np.empty(self.n, np.int64)
+        rank[np.lexsort((np.arange(self.n), frequency))] = np.arange(self.n)
+        for i in range(int(self.runs.max(initial=0))):
+            some = np.flatnonzero(self.runs > i)
+            own = rank[self.number[self.starts[some] + i]]
+            less = own < best[some]
+            best[some[less]], offset[some[less]] = own[less], i
+        rarest = self.number[self.starts + offset]
+        order = np.argsort(rarest, kind="stable").astype(np.int32)
+        return order, offset[order], np.searchsorted(rarest[order], np.arange(self.n + 1)).astype(np.int32)
+
+    def join(self, prefixes: tuple[np.ndarray, np.ndarray, np.ndarray], n_words: int, at: np.ndarray, num: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans of words that occurring windows cover, and the items that they are of."""
-        spans, items, there = [], set(), set(zip(at, num))
-        for p, k in zip(at, num):
-            for w, offset in prefixes.get(k, ()):
-                size, run, own = self.windows[w]
-                start = p - offset
+        order, offset, begin = prefixes
+        hits = np.flatnonzero(begin[num + 1] > begin[num])
+        if not len(hits):
+            return [], set()
+        spans, items, there = set(), set(), set(zip(at.tolist(), num.tolist()))
+        for p, k in zip(at[hits].tolist(), num[hits].tolist()):
+            for j in range(begin[k], begin[k + 1]):
+                w = order[j]
+                start, size, first = p - int(offset[j]), int(self.sizes[w]), int(self.starts[w])
                 if start < 0 or start + size > n_words:
                     continue
-                if all((start + i, s) in there for i, s in enumerate(run)):
-                    spans.append((start, start + size))
-                    items.update(own)
-        return spans, items
+                if all((start + i, s) in there for i, s in enumerate(self.number[first : first + int(self.runs[w])].tolist())):
+                    spans.add((start, start + size))
+                    items.add(int(self.items[w]))
+        return sorted(spans), items
 
 
-def _sparse(docs: DataFrame, items) -> DataFrame:
-    """(doc_id, n_words, at, num): where each document has shingles of the block."""
+def _sparse(rows: DataFrame, items) -> DataFrame:
+    """(row, n_words, at, num) of rows (row, text): where each has shingles of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Items = items.value
@@ -146,9 +153,9 @@ def _sparse(docs: DataFrame, items) -> DataFrame:
             for first in range(0, b.num_rows, 500):
                 part = b.slice(first, 500)
                 n, at, num = _batch(block, part.column(1).to_pylist())
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(num, pa.list_(pa.int32()))], ["doc_id", "n_words", "at", "num"])
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(num, pa.list_(pa.int32()))], ["row", "n_words", "at", "num"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_words long, at array<int>, num array<int>")
+    return rows.select("row", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "row long, n_words long, at array<int>, num array<int>")
 
 
 def _batch(block: Items, texts: list[bytes | None]) -> tuple[list[int], list, list]:
@@ -166,53 +173,69 @@ def _batch(block: Items, texts: list[bytes | None]) -> tuple[list[int], list, li
     return sizes, [at[cut[i] : cut[i + 1]] - starts[i] for i in range(len(sizes))], [num[cut[i] : cut[i + 1]] for i in range(len(sizes))]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about block_bytes of text, whose size is measured before anything is fetched."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.length("text") + F.length("name"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
+def _named(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
+def _block_count(benchmark: DataFrame, block_bytes: int) -> int:
+    """Blocks of about block_bytes of text, whose size is measured before anything is fetched."""
+    total = _named(benchmark).agg(F.sum(F.length("text") + F.length("name"))).first()[0] or 0
+    return max(1, -(-int(total) // block_bytes))
+
+
+def _blocks(benchmark: DataFrame, n: int) -> Iterator[list[tuple[str, bytes]]]:
     for k in range(n):
-        own = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
+        own = _named(benchmark).where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
         yield sorted((r.name, bytes(r.text)) for r in own.toLocalIterator())
 
 
-def _frequency(sparse: DataFrame, n: int) -> dict[int, int]:
-    """Documents per shingle of the block; at most as many rows as the block has shingles."""
-    return {r.num: r["count"] for r in sparse.select(F.explode(F.array_distinct("num")).alias("num")).groupBy("num").count().collect()} if n else {}
+def _frequency(sparse: DataFrame, n: int) -> np.ndarray:
+    """Documents per shingle of the block; at most as many rows as the block has shingles come back."""
+    out = np.zeros(n, np.int64)
+    if n:
+        got = sparse.select(F.explode(F.array_distinct("num")).alias("num")).groupBy("num").agg(F.count("*").alias("n")).toArrow()
+        out[got["num"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _lists(b: pa.RecordBatch, column: int) -> list[np.ndarray]:
+    flat, at = b.column(column).values.to_numpy(), b.column(column).offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> DataFrame:
-    """(doc_id, n_words, n_hit, items): one row per document."""
+    """SUMMARY of each row of docs."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontam")
+    rows = docs.select(doc_id().alias("row"), "text")
+    blocks = _block_count(benchmark, block_bytes)
+    if blocks > 1:
+        docs = scratch.keep(docs.select(doc_id().alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()))
+        rows = docs.select("row", "text")
     found = []
-    blocks = list(_blocks(benchmark, block_bytes)) if block_bytes else []
-    for rows in blocks:
-        block = Items(rows, window, shingle)
+    for items in _blocks(benchmark, blocks):
+        block = Items(items, window, shingle)
         known = spark.sparkContext.broadcast(block)
-        source = docs if len(blocks) == 1 else docs.withColumn("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-        sparse = scratch.keep(_sparse(source, known))
+        sparse = scratch.keep(_sparse(rows, known))
         prefixes = spark.sparkContext.broadcast(block.prefixes(_frequency(sparse, block.n)))
 
         def run(batches: Iterator[pa.RecordBatch], known=known, prefixes=prefixes) -> Iterator[pa.RecordBatch]:
             block, table_ = known.value, prefixes.value
             for b in batches:
                 spans, items = [], []
-                for n, at, num in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                    s, own = block.join(table_, n, at, num) if at else ((), ())
+                for n, at, num in zip(b.column(1).to_pylist(), _lists(b, 2), _lists(b, 3)):
+                    s, own = block.join(table_, n, at, num) if len(at) else ((), ())
                     spans.append([x for pair in s for x in pair])
                     items.append([block.names[i] for i in own])
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "spans", "items"])
 
-        found.append(sparse.mapInArrow(run, "doc_id long, n_words long, spans array<long>, items array<string>"))
+        found.append(sparse.mapInArrow(run, "row long, n_words long, spans array<long>, items array<string>"))
     if len(found) == 1:
         return found[0].mapInArrow(_summary, SUMMARY)
-    # several blocks: the rows of a text meet again by its hash, then return to the documents that have it
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionAll(f)
-    every = every.distinct().groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    by_text = every.mapInArrow(_summary, SUMMARY).withColumnRenamed("doc_id", "_h")
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).join(by_text, "_h").drop("_h")
+    every = found[0].select("row", "n_words", "spans", "items")
+    for f in found[1:]:  # rows without a span say nothing new
+        every = every.unionAll(f.where(F.size("spans") > 0))
+    every = every.groupBy("row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return every.join(docs.select("row", "doc_id"), "row").select("doc_id", "n_words", "spans", "items").mapInArrow(_summary, SUMMARY)
 
 
 SUMMARY = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -226,6 +249,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, e in sorted(zip(spans[::2], spans[1::2])):
                 n += max(0, e - max(s, end))
                 end = max(end, e)
+            items = set(items)  # rows of one item_id are one item
             hit.append(n)
             n_items.append(len(items))
             digest.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
@@ -233,19 +257,19 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document."""
     return _hits(docs, benchmark, window, shingle, block_bytes)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 4 << 20) -> DataFrame:
     """The documents in which no window occurs, with all their columns. Needs frequencies first, so it reads the texts twice."""
-    spark, scratch, kept = docs.sparkSession, Scratch(docs.sparkSession, "decontam"), docs
-    names = docs.columns
-    for rows in _blocks(benchmark, block_bytes):
-        block = Items(rows, window, shingle)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontam")
+    kept, names, text = hide(docs)
+    for items in _blocks(benchmark, _block_count(benchmark, block_bytes)):
+        block = Items(items, window, shingle)
         known = spark.sparkContext.broadcast(block)
-        sparse = scratch.keep(_sparse(kept.select(F.lit(None).cast("long").alias("doc_id"), "text"), known).where(F.size("num") > 0))
+        sparse = scratch.keep(_sparse(kept.select(F.lit(None).cast("long").alias("row"), F.col(text).alias("text")), known).where(F.size("num") > 0))
         prefixes = spark.sparkContext.broadcast(block.prefixes(_frequency(sparse, block.n)))
 
         def run(batches: Iterator[pa.RecordBatch], known=known, prefixes=prefixes) -> Iterator[pa.RecordBatch]:
@@ -254,17 +278,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 for first in range(0, b.num_rows, 500):
                     part = b.slice(first, 500)
                     n, at, num = _batch(block, part.column(part.num_columns - 1).to_pylist())
-                    good = [not (len(a) and block.join(table_, m, a.tolist(), k.tolist())[0]) for m, a, k in zip(n, at, num)]
+                    good = [not (len(a) and block.join(table_, m, a, k)[0]) for m, a, k in zip(n, at, num)]
                     yield part.select(range(part.num_columns - 1)).filter(pa.array(good, pa.bool_()))
 
-        hidden = kept.select(*(kept[c].alias(f"c{i}") for i, c in enumerate(names)), F.col("text").cast("string").cast("binary").alias("_text"))
-        out = hidden.drop("_text").schema
-        kept = hidden.mapInArrow(run, out).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
-    return kept
+        kept = kept.withColumn("bytes", F.col(text).cast("string").cast("binary")).mapInArrow(run, kept.schema)
+    return show(kept, names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
