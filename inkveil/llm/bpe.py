@@ -12,7 +12,8 @@ every prefix. Decoding emits the labels (bytes) of the arcs. Words are few kinds
 
 Cases: null text is empty text: no tokens; empty text likewise; added tokens (as <|endoftext|>) are cut out first and have
 their own ids; very long words take time and memory in proportion to their length; a null doc_id stays null; repeated rows
-give repeated results; an empty table gives an empty result; other columns are ignored (tokens keeps them).
+give repeated results; an empty table gives an empty result; other columns are ignored (tokens keeps them, but for those named ids or
+decoded, which give way).
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from inkveil.llm.common import table
+from inkveil.llm.common import corpus, hide, show
 
 NEVER = 1 << 60
 WORDS_KEPT = 100_000
@@ -49,13 +49,13 @@ PLAIN = rf" ?[{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r\x200-9{LATIN}
 
 
 class Arcs(dict):
-    """The transition table: state token << 20 | next token -> is there an arc? Filled as it is asked."""
+    """The transition table: state token << shift | next token -> is there an arc? Filled as it is asked."""
 
-    def __init__(self, arc):
-        self.arc = arc
+    def __init__(self, arc, shift: int):
+        self.arc, self.shift = arc, shift
 
     def __missing__(self, key: int) -> bool:
-        ok = self[key] = self.arc(key >> 20, key & 0xFFFFF)
+        ok = self[key] = self.arc(key >> self.shift, key & (1 << self.shift) - 1)
         return ok
 
 
@@ -131,7 +131,8 @@ class Automaton:
         self.trie.make_automaton()
         self.words: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
-        self.arcs = Arcs(self.arc)
+        self.shift = len(self.label).bit_length()  # room for any token number
+        self.arcs = Arcs(self.arc, self.shift)
         self.plain = re.compile(PLAIN).findall
         self.odd = re.compile(f"[^{EASY}]").search
         self.parts = regex.compile(SPLIT).findall
@@ -147,14 +148,14 @@ class Automaton:
     def spell(self, word: bytes) -> tuple[int, ...]:
         """The accepted token sequence. A prefix has one too, so its last arc says all: the arcs that end at each byte
         are tried, longest first, against the state that the prefix before them leads to."""
-        arcs, last = self.arcs, [-1] * (len(word) + 1)
+        arcs, shift, last = self.arcs, self.shift, [-1] * (len(word) + 1)
         if len(arcs) > ARCS_KEPT:
             arcs.clear()
         for end, (x, size) in self.trie.iter(word.decode("latin-1")):
             end += 1
             if last[end] < 0:
                 start = end - size
-                if not start or ((t := last[start]) >= 0 and arcs[t << 20 | x]):
+                if not start or ((t := last[start]) >= 0 and arcs[t << shift | x]):
                     last[end] = x
         out, end = [], len(word)
         while end:
@@ -207,8 +208,8 @@ def default_path() -> str:
 def tokens(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
     """All columns of docs, and ids array<int>: the tokens of text; with decode also decoded, the text that the ids alone give."""
     auto = docs.sparkSession.sparkContext.broadcast(Automaton.load(path or default_path()))
-    names = docs.columns
-    hidden = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    hidden, names, text = hide(docs)
+    given = hidden.withColumn("whole", F.coalesce(F.col(text).cast("string"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _current(auto.value)
@@ -221,10 +222,9 @@ def tokens(docs: DataFrame, path: str | None = None, decode: bool = False) -> Da
                     more.append(pa.array([a.decode(x) for x in ids], pa.binary()).cast(pa.string()))
                 yield pa.record_batch([*part.columns[:-1], *more], [*part.schema.names[:-1], "ids", "decoded"][: part.num_columns - 1 + len(more)])
 
-    schema = hidden.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType()))
-    if decode:
-        schema = schema.add("decoded", T.StringType())
-    return hidden.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "ids", *["decoded"] * decode)
+    more = {"ids": "array<int>"} | ({"decoded": "string"} if decode else {})
+    schema = hidden.select("*", *(F.lit(None).cast(t).alias(n) for n, t in more.items())).schema
+    return show(given.mapInArrow(run, schema), names, *more)
 
 
 def tokens_and_text(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -252,4 +252,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"))
+    return round_trip(corpus(spark, sf_dir))

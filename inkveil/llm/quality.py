@@ -10,8 +10,9 @@ what is broadcast (about max_labelled * (dims + 1) * 4 bytes) at any corpus size
 Only text is an input of a score; labels come from rows outside the held-out fold alone.
 
 Cases: null, empty and very short texts get the share of label 1 among the fitted rows, as do all if nothing is labelled
-(then 0.5); null labels and ids without a document are not used; ties in similarity go by the order of the fitted rows' ids;
-repeated rows give repeated results; an empty table gives an empty result; other columns never count.
+(then 0.5); null labels and ids without a document are not used; of equally similar neighbours those of smaller ids count first;
+repeated rows give repeated results; an empty table gives an empty result; other columns never count and stay, but for those named score or
+predicted, which give way in score().
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import table
+from inkveil.llm.common import corpus, hide, least_hashes, show, table
 
 BUCKETS = 1024  # for each of the two kinds of n-grams
 BLOCK = 512
@@ -84,6 +85,16 @@ class Model:
     def _unit(v: np.ndarray) -> np.ndarray:
         return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
+    @staticmethod
+    def _nearest(cos: np.ndarray, k: int) -> np.ndarray:
+        """The places of each row's k greatest values; of equal ones the first."""
+        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(cos, near, axis=1).min(axis=1)
+        for i in np.flatnonzero((cos >= least[:, None]).sum(axis=1) > k):
+            at = np.flatnonzero(cos[i] >= least[i])
+            near[i] = at[np.argsort(-cos[i, at], kind="stable")[:k]]
+        return near
+
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         out = np.full(len(texts), self.share)
         if not len(self.y):
@@ -93,7 +104,7 @@ class Model:
             x = np.stack([features(t) for t in own])
             cos = self._unit((x * self.weight - self.mean) @ self.basis) @ self.vectors
             k = min(self.neighbours, cos.shape[1])
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            near = self._nearest(cos, k)
             w = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** self.power + 1e-9
             vote = (w * self.y[near]).sum(axis=1) / w.sum(axis=1)
             out[at : at + BLOCK] = np.where([bool(t) and len(t) >= 4 for t in own], vote, self.share)
@@ -107,15 +118,9 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096, dims: int = 48, neighbours: int = 25, power: float = 4.0) -> Model:
     """The model from at most max_labelled rows outside the held-out fold."""
-    sample = (
-        labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y"))
-        .where("_id is not null and _y is not null")
-        .where(~held_out("_id"))
-        .groupBy("_id")
-        .agg(F.max("_y").alias("_y"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(max_labelled)
-    )
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null")
+    known = known.where(~held_out("_id")).groupBy("_id").agg(F.max("_y").alias("_y"))
+    sample = least_hashes(known, "_id", max_labelled).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     chosen = F.broadcast(sample)  # max_labelled rows of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096, dims: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").cast("binary").alias("_text")).join(chosen, F.col("_doc") == F.col("_id"))
     got = rows.select("_id", "_y", "_text").mapInArrow(run, "id long, y int, x binary").toArrow()
+    got = got.sort_by([("id", "ascending"), ("x", "ascending")])
     got = got.take(np.unique(got["id"].to_numpy(), return_index=True)[1]) if got.num_rows else got  # one row of each id
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, 2 * BUCKETS).astype(np.float32)
     return Model(x, got["y"].to_numpy().astype(np.int64), dims, neighbours, power)
@@ -135,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096, dims: int
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """All columns of docs, and score double, predicted int."""
     known = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    names = docs.columns
-    hidden = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), F.col("text").cast("string").cast("binary").alias("_text"))
+    hidden, names, text = hide(docs)
+    given = hidden.withColumn("bytes", F.col(text).cast("string").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = pickle.loads(known.value)
@@ -146,8 +152,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                 s = pa.array(m.scores(part.column(part.num_columns - 1).to_pylist()), pa.float64())
                 yield pa.record_batch([*part.columns[:-1], s], [*part.schema.names[:-1], "score"])
 
-    schema = hidden.drop("_text").withColumn("score", F.lit(0.0)).schema
-    return hidden.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = given.mapInArrow(run, hidden.withColumn("score", F.lit(0.0)).schema)
+    return show(scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")), names, "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -157,9 +163,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The documents that are predicted good, with their own columns."""
-    marked = score(docs.withColumn("_all", F.struct(*docs.columns)).select("_all", "text"), fit(docs, labels, **options), threshold)
-    return marked.where("predicted = 1").select("_all.*")
+    hidden, names, text = hide(docs)
+    marked = score(hidden.withColumn("text", F.col(text)), fit(docs, labels, **options), threshold)
+    return show(marked.where("predicted = 1"), names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(corpus(spark, sf_dir), table(spark, sf_dir, "labels"))
