@@ -1,57 +1,38 @@
 """Licence scans by a positional rare-token index, in DataFrame and SQL functions only.
 
-Licence templates (short notices and key sentences) are cut into words. The document frequency of every template word is
-counted over the whole corpus, and each template is indexed by words of highest IDF, half of them of its key phrase: a posting says at which place of
-which template a word stands. A file's rare licence words are looked up; a lookup votes for (template, place in the file
-less place in the template), so words that stand apart as in the template vote alike. A template whose rare words agree
-on a place often enough is a candidate, and counts if its mandatory key phrase stands in the file too.
+Licence templates (full texts of short licences, notices of long ones) are cut into sentences and words. The document frequency of
+every template word is counted over the whole corpus, and each sentence is indexed by its words of highest IDF: a posting says at
+which place of which sentence a word stands. Where a sentence has the template's key phrase, half of its indexed words come from
+that. A file's rare licence words are looked up with their places; a lookup votes for (sentence, place in the file less place in
+the sentence), so words that stand apart as in the sentence vote alike. A sentence with enough votes for one place makes its template a
+candidate, and that counts if its mandatory key phrase stands in the file too.
 
-Base labels come from four phrases by themselves; the method's labels are added to them. The score is the largest share of a
-counting template's rare words that agree on a place, and 1 where a base phrase stands.
+Base labels come from four phrases by themselves; the method's labels are added to them. The score is the largest share of a sentence's
+postings that agree on a place, of templates that count, and 1 where a base phrase stands.
 
 Cases: null and empty text has no words, no labels and score 0; a null doc_id stays null; rows that repeat a doc_id stay rows;
-long files are read whole, in time linear (votes: n log n) in their words; an empty table gives an empty result; other columns
-are ignored.
+long files are read whole, in time near linear in their words; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import table
+from inkveil.functions.arrays import let, running
+from inkveil.llm.common import corpus, doc_id
+from inkveil.llm.license_texts import TEMPLATES
 
 #: Word characters: digits, letters of ASCII, everything beyond ASCII. Patterns say (?i), which folds ASCII only.
 WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 GAP = rf"[^{WORD}]+"
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: label: (mandatory key phrase, template sentences).
-TEMPLATES = {
-    "agpl": ("affero general public license", ["licensed under the gnu affero general public license"]),
-    "apache-2.0": ("apache license version 2 0", ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"]),
-    "artistic": ("artistic license", ["this package is distributed under the artistic license"]),
-    "bsd": ("redistribution and use in source and binary forms", ["redistribution and use in source and binary forms with or without modification are permitted"]),
-    "bsd-notice": ("bsd license", ["released under the bsd license"]),
-    "cc-by-nc": ("cc by nc", ["licensed under cc by nc"]),
-    "cc-by-nd": ("cc by nd", ["licensed under cc by nd"]),
-    "cc-by-sa": ("cc by sa", ["licensed under cc by sa"]),
-    "cc0": ("cc0", ["cc0 1 0 universal public domain dedication"]),
-    "epl": ("eclipse public license", ["made available under the terms of the eclipse public license"]),
-    "gpl-2": ("gnu general public license version 2", ["licensed under the gnu general public license version 2"]),
-    "gpl-3": ("gnu general public license version 3", ["this work is licensed under the gnu general public license version 3"]),
-    "isc": ("permission to use copy modify", ["permission to use copy modify and or distribute this software for any purpose with or without fee"]),
-    "lgpl": ("lesser general public license", ["licensed under the gnu lesser general public license"]),
-    "mit": ("mit license", ["released under the mit license"]),
-    "mit-text": ("permission is hereby granted free of charge", ["permission is hereby granted free of charge to any person obtaining a copy of this software"]),
-    "mpl": ("mozilla public license", ["subject to the terms of the mozilla public license"]),
-    "unlicense": ("unencumbered software released into the public domain", ["this is free and unencumbered software released into the public domain"]),
-    "zlib": ("provided as is without any express or implied warranty", ["this software is provided as is without any express or implied warranty"]),
-}
-RARE = 4  # indexed words of a template sentence
-AGREE = 0.5  # share of them that must agree on a place
+RARE = 4  # indexed words of a sentence
+AGREE = 0.5  # share of its postings that must agree on a place
 SHIFT = 1 << 40
 
 
@@ -65,62 +46,65 @@ def _alone(body: str) -> str:
 
 BASE_RX = _alone("|".join(map(phrase, BASE)))
 WORD_RX = rf"[{WORD}]+"
+Templates = dict[str, tuple[str, str]]
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
 
-def sentences() -> list[tuple[str, list[str]]]:
-    return [(label, s.split()) for label, (_, texts) in TEMPLATES.items() for s in texts]
+def sentences(templates: Templates = TEMPLATES) -> list[tuple[str, list[str], list[str]]]:
+    """(label, words, words of the key phrase if it stands in the sentence)."""
+    out = []
+    for label, (key, text) in templates.items():
+        seen = set()
+        for part in re.split(r"(?<=[.;:])\s+(?=[A-Z])", text.strip()):
+            words = words_of(part)
+            if words and tuple(words) not in seen:
+                seen.add(tuple(words))
+                out.append((label, words, key.split() if f" {key} " in f" {' '.join(words)} " else []))
+    return out
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, s in sentences() for w in s})
-
-
-def document_frequency(docs: DataFrame) -> DataFrame:
+def document_frequency(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     """(word, n): documents that have the template word; as many rows as there are template words at most."""
-    words = F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), GAP)
-    own = F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary())))
+    known = sorted({w for _, s, _ in sentences(templates) for w in s})
+    words = F.split(F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), GAP)
+    own = F.array_distinct(F.filter(words, lambda w: w.isin(known)))
     return docs.where(F.col("text").isNotNull()).select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def index(docs: DataFrame) -> tuple[list[tuple[str, int, int]], dict[str, list[tuple[int, int]]]]:
-    """The sentences' labels, numbers of indexed words and of votes needed, and the postings word -> (sentence, place).
+def index(frequency: dict[str, int], templates: Templates = TEMPLATES) -> tuple[list[tuple[str, int, int]], dict[str, list[tuple[int, int]]]]:
+    """The sentences' labels, numbers of postings and of votes needed, and the postings word -> (sentence, place).
 
-    Half of the words are of the key phrase, where the sentence has it, so a file with that phrase has the votes whatever the corpus."""
-    df = {r.word: r.n for r in document_frequency(docs).collect()}
+    The least frequent words have the highest IDF; words that no file has come last, and ties go by the word. A sentence that has its key
+    phrase needs no more votes than that alone gives."""
+    rarity = lambda w: (not frequency.get(w), frequency.get(w, 0), w)
     known, postings = [], {}
-    for t, (label, words) in enumerate(sentences()):
-        rarity = lambda w: (not df.get(w), df.get(w, 0), w)  # noqa: E731  least frequent: highest IDF; words that no file has come last
-        key = TEMPLATES[label][0].split()
-        key = key if any(words[i : i + len(key)] == key for i in range(len(words))) else []
+    for t, (label, words, key) in enumerate(sentences(templates)):
         own = sorted(set(key), key=rarity)[: math.ceil(RARE * AGREE)]
         rare = own + sorted(set(words) - set(own), key=rarity)[: RARE - len(own)]
-        known.append((label, len(rare), min(len(own) or RARE, max(1, math.ceil(len(rare) * AGREE)))))
-        for w in rare:
-            for at, x in enumerate(words):
-                if x == w:
-                    postings.setdefault(w, []).append((t, at))
+        places = [(w, at) for at, w in enumerate(words) if w in rare]
+        known.append((label, len(places), min(len(own) or RARE, max(1, math.ceil(len(places) * AGREE)))))
+        for w, at in places:
+            postings.setdefault(w, []).append((t, at))
     return known, postings
 
 
-def licenses(docs: DataFrame) -> DataFrame:
+def licenses(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    known, postings = index(docs)
-    rare = F.lit(rf"(?i)(?<![{WORD}])(?:" + "|".join(sorted(postings)) + rf")(?![{WORD}])")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known, postings = index({r.word: r.n for r in document_frequency(docs, templates).collect()}, templates)
+    d = docs.select(doc_id().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     count = lambda c: F.regexp_count(c, F.lit(WORD_RX)).cast("long")
-    d = d.select("doc_id", "text", count(F.col("text")).alias("n_words"), F.when(F.col("text").rlike(KEYS_RX), F.col("text")).alias("some"))
-    # Only texts with a key phrase or base phrase go on; for the others every column below is null, then its empty value.
-    base = F.regexp_extract_all("some", F.lit(BASE_RX), F.lit(0))
-    d = d.select("*", F.when(F.col("some").isNotNull(), base).alias("base"))
+    text = F.col("text")
+
+    # Base phrases.
+    d = d.select("doc_id", "text", count(text).alias("n_words"), F.regexp_extract_all("text", F.lit(BASE_RX), F.lit(0)).alias("base"))
     has = F.size("base") > 0
-    pieces = F.split("some", BASE_RX, -1)
+    pieces = F.split("text", BASE_RX, -1)
     first = F.when(has, count(F.get(pieces, F.lit(0))))
     last = F.when(has, F.col("n_words") - count(F.element_at(pieces, -1)) - count(F.element_at("base", -1)))
+
     def named(m: Column) -> Column:
         out = F.lit(None).cast("string")
         for p, v in BASE.items():
@@ -128,55 +112,95 @@ def licenses(docs: DataFrame) -> DataFrame:
         return out
 
     base_labels = F.array_sort(F.array_distinct(F.transform("base", named)))
-    table_ = F.create_map(*(x for w, own in sorted(postings.items()) for x in (F.lit(w), F.array(*(F.lit(t * SHIFT - at) for t, at in own)))))
-    need = F.array(*(F.lit(n) for *_, n in known))
-    total = F.array(*(F.lit(n) for _, n, _ in known))
-    # Places of the file's rare words: the words between them are counted, as offsets are.
-    hits = F.transform(F.regexp_extract_all("some", rare, F.lit(0)), lambda w: F.lower(w))
-    gaps = F.transform(F.split(F.col("some"), rare, F.lit(-1)), lambda g: F.regexp_count(g, F.lit(WORD_RX)))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("votes"))
-
-    def vote(acc: Column, h: Column) -> Column:
-        at = acc["at"] + h["gap"]
-        return F.struct((at + 1).alias("at"), F.concat(acc["votes"], F.transform(F.element_at(table_, h["word"]), lambda p: p + at + F.lit(SHIFT // 2))).alias("votes"))
-
-    zipped = F.arrays_zip(hits.alias("word"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gap"))
-    d = d.select("*", first.alias("first_word"), last.alias("last_word"), base_labels.alias("own"), F.when(F.col("some").isNotNull(), F.array_sort(F.aggregate(zipped, start, vote, lambda a: a["votes"]))).alias("votes"))
-    # Sorted votes: the run that starts at i is long enough if the vote `need` places on is the same.
+    d = d.select("doc_id", "text", "n_words", F.size("base").cast("long").alias("n_base"), first.alias("first_word"), last.alias("last_word"), base_labels.alias("own"))
+
+    # Votes of rare words.
+    rare = rf"(?i)(?<![{WORD}])(?:{'|'.join(sorted(postings))})(?![{WORD}])"
+    table_ = F.create_map(*(x for w, own in sorted(postings.items()) for x in (F.lit(w), F.array(*(F.lit(t * SHIFT - at + SHIFT // 2) for t, at in own)))))
+    none = F.array().cast("array<bigint>")
+
+    def votes(hits: Column) -> Column:
+        """A hit's place is the number of words before it."""
+        before = F.transform(F.slice(F.split(text, rare, -1), F.lit(1), F.size(hits)), lambda g: count(g) + 1)
+        places = lambda ends: F.flatten(F.transform(hits, lambda w, i: F.transform(F.element_at(table_, F.lower(w)), lambda p: p + F.get(ends, i) - 1)))
+        return F.when(F.size(hits) > 0, let(running(before), places)).otherwise(none)
+
+    d = d.select("*", F.sort_array(let(F.regexp_extract_all("text", F.lit(rare), F.lit(0)), votes)).alias("votes"))
+    most = max(n for _, n, _ in known)
+    need, total = F.array(*(F.lit(n) for *_, n in known)), F.array(*(F.lit(n) for _, n, _ in known))
+    label = F.array(*(F.lit(name) for name, *_ in known))
+    # Sorted votes: those that agree follow each other, and no place gets more than a sentence has postings.
     runs = F.transform(
         "votes",
-        lambda v, i: F.struct(
-            F.floor(v / SHIFT).cast("int").alias("t"),
-            F.aggregate(F.slice("votes", i + 1, F.lit(RARE)), F.lit(0), lambda n, x: n + F.when(x == v, 1).otherwise(0)).alias("n"),
-        ),
+        lambda v, i: F.struct(F.floor(v / SHIFT).cast("int").alias("t"), F.size(F.filter(F.slice("votes", i + 1, F.lit(most)), lambda x: x == v)).alias("n")),
     )
-    good = F.filter(runs, lambda r: r["n"] >= F.get(need, r["t"]))
-    phrases = {label: _alone(phrase(key)) for label, (key, _) in TEMPLATES.items()}
+    d = d.select("*", F.filter(runs, lambda r: r["n"] >= F.get(need, r["t"])).alias("good"))
 
-    def counts_for(r: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for t, (label, *_) in enumerate(known):
-            out = F.when((r["t"] == t) & F.col("some").rlike(phrases[label]), F.lit(label)).otherwise(out)
-        return F.struct(out.alias("label"), (r["n"] / F.get(total, r["t"])).alias("share"))
-
-    d = d.select("*", F.filter(F.transform(F.array_distinct(good), counts_for), lambda x: x["label"].isNotNull()).alias("found"))
-    empty = F.array().cast("array<string>")
-    every = F.array_sort(F.array_distinct(F.concat(F.coalesce("own", empty), F.coalesce(F.transform("found", lambda x: x["label"]), empty))))
-    share = F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))
+    # Key phrases of the candidates.
+    def there(name: Column) -> Column:
+        out = F.lit(False)
+        for key, v in ((key, v) for v, (key, _) in templates.items()):
+            out = F.when(name == v, text.rlike(_alone(phrase(key)))).otherwise(out)
+        return out
+
+    d = d.select("*", F.filter(F.array_distinct(F.transform("good", lambda r: F.get(label, r["t"]))), there).alias("found"))
+    shares = F.transform(F.filter("good", lambda r: F.array_contains("found", F.get(label, r["t"]))), lambda r: r["n"] / F.get(total, r["t"]))
     return d.select(
         "doc_id",
         "n_words",
-        F.greatest(F.coalesce(F.size("base"), F.lit(0)), F.lit(0)).cast("long").alias("n_base"),
+        "n_base",
         "first_word",
         "last_word",
-        F.coalesce(F.array_join("own", ","), F.lit("")).alias("base_labels"),
-        F.array_join(every, ",").alias("labels"),
-        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(share).cast("double").alias("score"),
+        F.array_join("own", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("own", "found")), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(shares), F.lit(0.0))).cast("double").alias("score"),
     )
 
 
-KEYS_RX = _alone("|".join(phrase(p) for p in sorted({*BASE, *(key for key, _ in TEMPLATES.values())})))
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(corpus(spark, sf_dir))
+
+
+def _sql() -> str:
+    quoted = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    known = sentences()
+    words = [(t, at, w) for t, (_, s, _) in enumerate(known) for at, w in enumerate(s)]
+    keys = sorted({(t, w) for t, (_, _, key) in enumerate(known) for w in key})
+    half = math.ceil(RARE * AGREE)
+    longest = max(len(p.split()) for p in BASE)
+    ahead = ", ".join(f"lead(w, {k}) OVER (PARTITION BY d ORDER BY i) AS w{k}" for k in range(1, longest))
+    base = " OR ".join("(" + " AND ".join(f"w{k or ''} = '{w}'" for k, w in enumerate(p.split())) + ")" for p in BASE)
+    label = " ".join(f"WHEN w = '{p.split()[0]}' THEN '{v}'" for p, v in BASE.items())
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS a FROM documents),
+words AS (SELECT d, unnest(range(len(a))) AS i, unnest(a) AS w FROM docs),
+template(t, pos, w) AS (VALUES {quoted(words)}),
+sentence(t, label) AS (VALUES {quoted((t, label) for t, (label, *_) in enumerate(known))}),
+phrase(label, key) AS (VALUES {quoted((v, key) for v, (key, _) in TEMPLATES.items())}),
+keyword(t, w) AS (VALUES {quoted(keys)}),
+frequency AS (SELECT w, count(DISTINCT d) AS n FROM words WHERE w IN (SELECT w FROM template) GROUP BY w),
+ranked AS (SELECT DISTINCT t, template.w, coalesce(n, 0) AS n FROM template LEFT JOIN frequency USING (w)),
+own AS (SELECT t, w FROM ranked JOIN keyword USING (t, w) QUALIFY row_number() OVER (PARTITION BY t ORDER BY n = 0, n, w) <= {half}),
+owned AS (SELECT t, count(*) AS k FROM own GROUP BY t),
+others AS (SELECT t, w FROM ranked LEFT JOIN owned USING (t) ANTI JOIN own USING (t, w)
+           QUALIFY row_number() OVER (PARTITION BY t ORDER BY n = 0, n, w) <= {RARE} - coalesce(k, 0)),
+posting AS (SELECT t, w, pos FROM template JOIN (SELECT t, w FROM own UNION ALL SELECT t, w FROM others) USING (t, w)),
+needed AS (SELECT t, total, least(coalesce(k, {RARE}), greatest(1, ceil(total * {AGREE}))) AS need FROM (SELECT t, count(*) AS total FROM posting GROUP BY t) LEFT JOIN owned USING (t)),
+vote AS (SELECT d, t, i - pos AS place, count(*) AS n FROM words JOIN posting USING (w) GROUP BY ALL),
+found AS (
+  SELECT d, label, max(n / total) AS share
+  FROM vote JOIN needed USING (t) JOIN sentence USING (t) JOIN phrase USING (label) JOIN docs USING (d)
+  WHERE n >= need AND contains(' ' || array_to_string(a, ' ') || ' ', ' ' || key || ' ')
+  GROUP BY d, label),
+base AS (SELECT d, i, CASE {label} END AS label FROM (SELECT d, i, w, {ahead} FROM words) WHERE {base}),
+bases AS (SELECT d, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY d),
+every AS (SELECT d, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT d, label FROM found UNION SELECT d, label FROM base) GROUP BY d),
+best AS (SELECT d, max(share) AS share FROM found GROUP BY d)
+SELECT doc_id, len(a)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM docs LEFT JOIN bases USING (d) LEFT JOIN every USING (d) LEFT JOIN best USING (d)
+"""
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses(table(spark, sf_dir, "documents"))
+SQL = _sql()

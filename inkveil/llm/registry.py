@@ -14,4 +14,4 @@ QUERIES = {
     "op9_secrets": secrets.query,
     "op10_quality": quality.query,
 }
-SQL = {"op5_decontamination": decontam.SQL, "op8_line_dedup": linededup.SQL}
+SQL = {"op2_licenses": licenses.SQL, "op5_decontamination": decontam.SQL, "op8_line_dedup": linededup.SQL, "op9_secrets": secrets.SQL}
