@@ -7,7 +7,6 @@ empty texts, repeated rows, extra columns and empty tables are treated as the op
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkveil.llm import bpe, decontam, linededup, quality, simhash
 from inkveil.llm.common import table
@@ -19,8 +18,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that 10 or more of them have; n_chars follows the text, documents stay even if left empty."""
-    return linededup.clean(docs).select(*(F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    """Documents without the lines that 10 or more of them have; n_chars follows the text, documents stay even if left empty, null texts stay null."""
+    return linededup.rewrite(docs, n_chars="n_chars")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
