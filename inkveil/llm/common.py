@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z, every other byte as it is.
@@ -63,12 +63,17 @@ class Scratch:
         self.spark, self.path = spark, f"{scratch_root(spark)}/inkveil-{tag}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **seen: Column) -> DataFrame:
+        """df, written and read again. Its number of rows, the sum of a column n and the aggregates `seen` are taken while it is written,
+        and stand in the attribute seen."""
         self.n += 1
         at = f"{self.path}/{self.n:03d}"
-        df.write.parquet(at)
+        if "n" in df.columns:
+            seen["sum_n"] = F.sum("n")
+        watch = Observation()
+        df.observe(watch, F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in seen.items())).write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
-        out._scratch_path = at  # for drop()
+        out.seen, out._scratch_path = watch.get, at
         return out
 
     def drop(self, df: DataFrame) -> None:
@@ -90,12 +95,12 @@ def spread(df: DataFrame, factor: int = 4) -> DataFrame:
 SHARE = 4096
 
 
-def join_spread(rows: DataFrame, by_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_spread(rows: DataFrame, by_key: DataFrame, keys: list[str], how: str = "inner", seen: dict | None = None) -> DataFrame:
     """rows joined with by_key, a kept table of one row per key and the number `n` of rows that have it (n is dropped).
 
     Keys of more than 1/4096 of all rows, so 4096 of them at most, are broadcast with their number of parts: their rows are dealt
     over as many tasks, and their row of by_key is repeated for each."""
-    least = max(100, int(by_key.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    least = max(100, int((seen or by_key.seen)["sum_n"] or 0) // SHARE)
     heavy = F.broadcast(by_key.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts")))
     dealt = rows.join(heavy, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     again = by_key.drop("n").join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
@@ -111,27 +116,28 @@ def least_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """(id, component) for every id in edges (a, b), component being the smallest reachable id.
+    """(id, component) for every id in edges (a, b) that is not the smallest reachable id itself, component being that.
 
     Alternates large-star and small-star contraction. A round groups by node with a map-side minimum and joins
     that minimum back, so a node with very many neighbours is split by the skew join and never gathered.
     """
-    state = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
-    for _ in range(max_rounds):
-        now = state.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s")).first()
-        if tuple(now) == mark or not now.n:
-            break
-        mark = tuple(now)
+    mark = {"x": F.bit_xor(F.xxhash64("a", "b")), "s": F.sum(F.col("b").cast("decimal(38,0)"))}
+    state = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), **mark)
+    for _ in range(max_rounds if state.seen["rows"] else 0):
         both = state.union(state.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select("b", "a", "m")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = scratch.keep(small)
+        new = scratch.keep(small, **mark)
         scratch.drop(state)
-        state = new
+        done, state = new.seen == state.seen, new
+        if done:
+            break
     else:
-        raise RuntimeError("components did not settle")
-    return state.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+        if state.seen["rows"]:
+            raise RuntimeError("components did not settle")
+    out = state.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    out.seen = state.seen
+    return out

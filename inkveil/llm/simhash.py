@@ -387,26 +387,32 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common)
 
 
-def _blocks(members: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
-    """(g, t, s, label) of members (g, label, s, w): tasks (g, t) in which any two members of a group with unlike labels meet.
+def _blocks(members: DataFrame, cap: int, scratch: Scratch) -> DataFrame | None:
+    """(g, t, s, label) of members (g, label, s, w): tasks (g, t) in which any two members of a group with unlike labels meet. None if
+    no group has unlike labels.
 
     A group that weighs no more than 2 * cap is one task. A heavier one is cut into blocks of about cap, of one label each if that
     weighs more than cap and else mixed, and each pair of blocks that has unlike labels is a task. Members of one label never
     meet for their own sake, so a group that is one label but for a few members makes about as many tasks as it has blocks."""
-    by_label = scratch.keep(members.groupBy("g", "label").agg(F.sum("w").alias("w"), F.count("*").alias("n")))
-    whole = by_label.groupBy("g").agg(F.sum("w").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    units = scratch.keep(by_label.withColumnRenamed("w", "lw").join(whole.select("g", "all"), "g"))
-    dealt = join_spread(members.select("g", "label", "s"), units, ["g", "label"])
+    by_label = scratch.keep(members.groupBy("g", "label").agg(F.sum("w").alias("lw"), F.count("*").alias("n")))
+    whole = by_label.groupBy("g").agg(F.sum("lw").alias("all"), F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1").drop("labels")
+    whole = scratch.keep(whole, most=F.max("all"))
+    if not whole.seen["rows"]:
+        return None
+    dealt = join_spread(members.select("g", "label", "s"), whole, ["g"])
+    if whole.seen["most"] <= 2 * cap:
+        return dealt.select("g", F.lit(0).cast("long").alias("t"), "s", "label")
     small = dealt.where(F.col("all") <= 2 * cap).select("g", F.lit(0).cast("long").alias("t"), "s", "label")
+    units = scratch.keep(by_label.join(whole.where(F.col("all") > 2 * cap).select("g", "all"), "g"))
     own = F.when(F.col("lw") > cap, F.col("label"))  # null: a mixed block
-    large = units.where(F.col("all") > 2 * cap).groupBy("g", own.alias("u")).agg(F.ceil(F.sum("lw") / cap).cast("int").alias("n_blocks"), F.sum("n").alias("n"))
+    large = units.groupBy("g", own.alias("u")).agg(F.ceil(F.sum("lw") / cap).cast("int").alias("n_blocks"), F.sum("n").alias("n"))
     large = scratch.keep(large.withColumn("k", F.xxhash64("u")))
     blocks = large.select("g", "k", "u", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("b"))
     x, y = (blocks.select("g", *(F.col(c).alias(f"{c}{side}") for c in "kub")) for side in "xy")
     pairs = x.join(y, "g").where("struct(kx, bx) <= struct(ky, by) and not (ux <=> uy and ux is not null)").withColumn("t", F.xxhash64("kx", "bx", "ky", "by"))
     places = pairs.select("g", F.explode(F.array_distinct(F.array(F.struct(F.col("kx").alias("k"), F.col("bx").alias("b")), F.struct(F.col("ky").alias("k"), F.col("by").alias("b"))))).alias("p"), "t").select("g", "p.k", "p.b", "t")
-    heavy = dealt.where(F.col("all") > 2 * cap).withColumn("k", F.xxhash64(own))
-    heavy = join_spread(heavy.select("g", "k", "s", "label"), large.select("g", "k", "n_blocks", "n"), ["g", "k"]).withColumn("b", F.pmod(F.xxhash64("s"), F.col("n_blocks")).cast("int"))
+    heavy = join_spread(dealt.where(F.col("all") > 2 * cap).drop("all"), units, ["g", "label"]).withColumn("k", F.xxhash64(own))
+    heavy = join_spread(heavy.select("g", "k", "s", "label"), large.select("g", "k", "n_blocks", "n"), ["g", "k"], seen=large.seen).withColumn("b", F.pmod(F.xxhash64("s"), F.col("n_blocks")).cast("int"))
     return small.unionByName(heavy.join(places, ["g", "k", "b"]).select("g", "t", "s", "label"))
 
 
@@ -540,21 +546,29 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     by_lead = scratch.keep(members.where("s <> lead").groupBy("lead").agg(F.count("*").alias("n")).join(fps.select(F.col("s").alias("lead"), F.col("fp").alias("lead_fp")), "lead"))
     near = scratch.keep(_radius_links(join_spread(edges, by_lead, ["lead"]), radius))
     joined = components(near.select(F.col("s").alias("a"), F.col("lead").alias("b")), scratch)
-    marked = _labelled(members.select("k", "s"), joined)
+    marked = scratch.keep(_labelled(members.select("k", "s"), joined))
     mixed = scratch.keep(marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("k", "n"))
-    todo = scratch.keep(join_spread(marked, mixed, ["k"]).select(F.col("k").alias("g"), "label", "s", F.lit(1).alias("w")))
-    tasks = _blocks(todo, BLOCK_FPS, scratch).join(fps, "s").select("g", "t", F.col("label").alias("id"), "fp")
-    both = near.select(F.col("s").alias("a"), F.col("lead").alias("b")).unionByName(_bucket_links(tasks, ["g", "t"], radius))
-    clusters = components(both, scratch)
-
-    cluster = scratch.keep(clusters.select(F.col("id").alias("s"), F.col("component").alias("g")).unionByName(clusters.select(F.col("component").alias("s"), F.col("component").alias("g")).distinct()).distinct())
+    clusters = members.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0)
+    if mixed.seen["rows"]:
+        todo = scratch.keep(join_spread(marked, mixed, ["k"]).select(F.col("k").alias("g"), "label", "s", F.lit(1).alias("w")))
+        tasks = _blocks(todo, BLOCK_FPS, scratch).join(fps, "s").select("g", "t", F.col("label").alias("id"), "fp")
+        clusters = _bucket_links(tasks, ["g", "t"], radius)  # between labels
+    clusters = components(clusters, scratch)
+
+    ends = clusters.select(F.col("id").alias("label"), F.col("component").alias("g"))
+    ends = ends.unionByName(ends.select(F.col("g").alias("label"), "g").distinct())
+    linked = joined.select(F.col("id").alias("s"), F.col("component").alias("label"))
+    linked = linked.unionByName(linked.select(F.col("label").alias("s"), "label").distinct())  # every s that is linked to its lead
+    cluster = linked.join(ends, "label", "full").select(F.coalesce("s", "label").alias("s"), F.coalesce("g", "label").alias("g"))
+    cluster = scratch.keep(cluster)
     sets = scratch.keep(_sets(texts, sets_.select("s", "id", "h").join(cluster.select("s"), "s"), width))
     sure = scratch.keep(_verified(near, sets, similarity, scratch))
     exact = components(sure, scratch)
-    open_ = _labelled(cluster, exact).join(sets.groupBy("s").agg(F.max("m").alias("w")), "s")
-    more = scratch.keep(_block_links(_blocks(scratch.keep(open_.select("g", "label", "s", "w")), BLOCK_HASHES, scratch), sets, similarity))
-    groups = components(sure.unionByName(more), scratch)
-    by_set = scratch.keep(_labelled(rows.groupBy("s").agg(F.count("*").alias("n")), groups).withColumnRenamed("label", "component"))
+    open_ = scratch.keep(_labelled(cluster, exact).join(sets.groupBy("s").agg(F.max("m").alias("w")), "s").select("g", "label", "s", "w"))
+    tasks = _blocks(open_, BLOCK_HASHES, scratch)
+    more = components(_block_links(tasks, sets, similarity) if tasks is not None else sure.limit(0), scratch)  # between labels of exact
+    by_set = _labelled(rows.groupBy("s").agg(F.count("*").alias("n")), exact).drop("component").withColumnRenamed("label", "set_label")
+    by_set = scratch.keep(_labelled(by_set, more, "set_label").select("s", "n", F.col("label").alias("component")))
     return join_spread(rows.select("id", "h", "s"), by_set, ["s"]).select("id", "h", "component")
 
 
