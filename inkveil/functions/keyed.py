@@ -1,13 +1,20 @@
-"""The HMAC-SHA256 draw stream and checksums as Catalyst expressions."""
+"""The keyed draws of surrogates: HMAC-SHA256 of "key|block", 4 bytes each, big-endian, in plain Python and as Catalyst expressions."""
 
 from __future__ import annotations
 
 import hashlib
+import hmac
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkveil.operators.patterns import _dihedral, _moved
+from inkveil.operators.patterns import verhoeff_ok  # noqa: F401  (part of this module's surface)
+
+
+def word(seed: str, key: str, k: int) -> int:
+    """The k-th 32-bit draw of a key's stream."""
+    block = hmac.new(seed.encode(), f"{key}|{k // 8}".encode(), hashlib.sha256).digest()
+    return int.from_bytes(block[4 * (k % 8) : 4 * (k % 8) + 4], "big")
 
 
 def pads(seed: str) -> tuple[str, str]:
@@ -24,13 +31,10 @@ def hmac_hex(seed: str, message: Column) -> Column:
 
 
 def draw(seed: str, key: Column, k: int) -> Column:
-    """The k-th 32-bit draw of a key's stream."""
     block = hmac_hex(seed, F.concat(key, F.lit(f"|{k // 8}")))
     return F.conv(F.substring(block, 1 + 8 * (k % 8), 8), 16, 10).cast("bigint")
 
 
-def verhoeff_ok(digits: Column) -> Column:
-    moved = F.array(*(F.lit(_moved(d, i)) for i in range(8) for d in range(10)))
-    product = F.array(*(F.lit(_dihedral(a, b)) for a in range(10) for b in range(10)))
-    steps = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.get(moved, (i % 8) * 10 + c.cast("int")))
-    return F.aggregate(steps, F.lit(0), lambda c, d: F.get(product, c * 10 + d)) == 0
+def digits(seed: str, key: Column, n: int) -> Column:
+    """n decimal digits: the first n draws, each modulo 10."""
+    return F.concat(*((draw(seed, key, k) % 10).cast("string") for k in range(n)))
