@@ -1,9 +1,10 @@
-"""python -m inkveil redact|analyze|serve"""
+"""python -m inkveil redact|analyze|serve|evaluate"""
 
 from __future__ import annotations
 
 import argparse
 import json
+import logging
 import time
 
 from inkveil.settings import Settings
@@ -15,14 +16,20 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="inkveil", description="Find personal data in documents and replace it.")
     p.add_argument("--version", action="version", version=VERSION)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("redact", "analyze", "serve"):
+    for name in ("redact", "analyze", "serve", "evaluate"):
         c = sub.add_parser(name)
         c.add_argument("--config", help="YAML file; without it, INKVEIL_* variables hold")
         c.add_argument("--seed")
         c.add_argument("--types", help="comma-separated")
+        c.add_argument("--no-propagation", action="store_true", help="do not look for further mentions of confirmed names")
+        c.add_argument("--redact-public", action="store_true", help="public bodies and domains go too")
+        c.add_argument("-v", "--verbose", action="store_true")
         if name == "serve":
             c.add_argument("--host", default="127.0.0.1")
             c.add_argument("--port", type=int, default=8000)
+        elif name == "evaluate":
+            c.add_argument("labels", nargs="+", help="files of labelled records that have their text")
+            c.add_argument("-o", "--output", help="file for the results, as JSON")
         else:
             c.add_argument("inputs", nargs="+")
         if name == "redact":
@@ -40,6 +47,8 @@ def main(argv: list[str] | None = None) -> int:
     settings = Settings.from_yaml(args.config) if args.config else Settings.from_env()
     asked = {"seed": args.seed, "types": args.types}
     settings = settings.but(**{k: getattr(Settings.from_mapping(asked), k) for k, v in asked.items() if v})
+    settings = settings.but(propagate=settings.propagate and not args.no_propagation, redact_public=settings.redact_public or args.redact_public)
+    logging.basicConfig(level=logging.INFO if args.verbose else logging.WARNING)
     if args.command == "serve":
         from inkveil.service import serve
 
@@ -49,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from inkveil.operators import engine
+    from inkveil.operators import engine, scoring
     from inkveil.sources import files
 
     spark, t = SparkSession.builder.getOrCreate(), time.time()
@@ -60,6 +69,17 @@ def main(argv: list[str] | None = None) -> int:
         if args.report:
             print(json.dumps(files.report(done, args.report, settings, round(time.time() - t, 3))))
         return 0
+    if args.command == "evaluate":
+        suites = {}
+        for path in args.labels:
+            gold = scoring.locate(scoring.read_labels(spark, path))
+            suites[path.rsplit("/", 1)[-1]] = gold, engine.detect(gold.select("id", "text"), settings, redact=False).select("id", "entities")
+        done = json.dumps(scoring.results(suites, {"types": settings.types, "propagate": settings.propagate, "min_score": settings.min_score}), ensure_ascii=False)
+        if args.output:
+            with open(args.output, "w", encoding="utf-8") as f:
+                f.write(done)
+        print(done)
+        return 0
     text = files.read(spark, args.inputs, tidy=False).select("path", F.array_join("segments", files.GAP, "").alias("text"))
     found = engine.entities(engine.detect(text, settings, redact=False), "path")
     if args.json:

@@ -5,17 +5,39 @@ Both sides are (id, entities), entities being an array of structs with type, sta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.operators import spans
 
 
 def read_labels(spark, path: str) -> DataFrame:
-    """(id, stratum, text, labels) of a JSON file with an array `records` whose entities have type, text and, if not the first, occurrence."""
+    """(id, index, anchor, stratum, text, labels) of a JSON file with an array `records` whose entities have type, text and, if not the
+    first, occurrence. Records have their text, or the index of a paragraph and the anchor that it starts with."""
     label = "array<struct<type:string,text:string,occurrence:int>>"
-    schema = f"records array<struct<id:string,stratum:string,text:string,entities:{label}>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("records").alias("r")).select("r.id", "r.stratum", "r.text", F.col("r.entities").alias("labels"))
+    schema = f"records array<struct<id:string,index:int,anchor:string,stratum:string,text:string,entities:{label}>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("records").alias("r"))
+    return rows.select(F.coalesce("r.id", F.col("r.index").cast("string")).alias("id"), "r.index", "r.anchor", "r.stratum", "r.text", F.col("r.entities").alias("labels"))
+
+
+def with_paragraphs(records: DataFrame, segments: DataFrame) -> DataFrame:
+    """records with the text of their paragraph, of segments (index, text). An index without a paragraph, or a paragraph that does not
+    start with the record's anchor, is an error."""
+    joined = records.drop("text").join(segments.select("index", "text"), "index", "left")
+    where = F.concat(F.lit("record "), F.col("id"), F.lit(", paragraph "), F.col("index").cast("string"))
+    bad = F.when(F.col("text").isNull(), F.raise_error(F.concat(F.lit("no such paragraph: "), where)).cast("string"))
+    bad = bad.when(~F.startswith("text", F.coalesce("anchor", F.lit(""))), F.raise_error(F.concat(F.lit("anchor does not match: "), where)).cast("string"))
+    return joined.withColumn("text", bad.otherwise(F.col("text"))).select(*records.columns)
+
+
+def of_paragraphs(entities: DataFrame, records: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, entities) of records (id, index): the entities (start, end and more) of a whole document that lie in their paragraph, by the
+    starts (index, start, text) of its paragraphs."""
+    one = starts.select(F.lit(0).alias("doc"), "index", "start", "text")
+    inside = spans.bucket(entities.withColumn("doc", F.lit(0)), one, "doc").groupBy("index")
+    found = inside.agg(F.array_sort(F.collect_list(F.struct("type", "start", "end"))).alias("entities"))
+    empty = F.array().cast(found.schema["entities"].dataType)
+    return records.select("id", "index").join(found, "index", "left").select("id", F.coalesce("entities", empty).alias("entities"))
 
 
 def locate(records: DataFrame) -> DataFrame:
@@ -67,6 +89,25 @@ def scores(gold: DataFrame, pred: DataFrame, partial: bool = True) -> DataFrame:
     return _ratios(counts)
 
 
+def examples(gold: DataFrame, pred: DataFrame, partial: bool = True, most: int = 8) -> DataFrame:
+    """type, missed and spurious: up to `most` texts each of labels that nothing met and of predictions that met none, by id and place.
+
+    Entities need their text. No more than `most` rows of a type leave any task."""
+    met = pairs(gold, pred, partial)
+    rows = lambda side, at: side.select("id", F.posexplode("entities").alias(at, "e")).select("id", at, "e.type", "e.start", "e.text").join(met.select("id", "type", at), ["id", "type", at], "left_anti")
+    both = rows(gold, "g").select("type", F.lit("missed").alias("kind"), "id", "start", "text").unionByName(rows(pred, "p").select("type", F.lit("spurious").alias("kind"), "id", "start", "text"))
+    first = both.withColumn("n", F.row_number().over(Window.partitionBy("type", "kind").orderBy("id", "start"))).where(F.col("n") <= most)
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("n", "text")))), lambda x: x["text"]).alias(kind)
+    return first.groupBy("type").agg(listed("missed"), listed("spurious"))
+
+
+def results(suites: dict[str, tuple[DataFrame, DataFrame]], config: dict) -> dict:
+    """The report of several suites of (gold with text, pred): strict, partial and token scores, and examples. A row for each type at most."""
+    rows = lambda df: sorted((r.asDict() for r in df.collect()), key=lambda r: str(r.get("type")))
+    out = {name: {"strict": rows(scores(g, p, False)), "partial": rows(scores(g, p)), "tokens": rows(token_scores(g, p))[0], "examples": rows(examples(g, p))} for name, (g, p) in suites.items()}
+    return {"config": config, "suites": out}
+
+
 def token_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """tp, fp, fn, tn, ratios and accuracy over blank-separated tokens; a token counts as marked if a span covers any of it. gold has text."""
     token = gold.join(pred.select("id", F.col("entities").alias("found")), "id", "left").select("id", "entities", "found", F.explode(spans.matches("text", r"(?U)\S+")).alias("t"))

@@ -128,3 +128,66 @@ def test_service():
             assert e.value.code == code
     finally:
         server.shutdown()
+
+
+def test_gold_of_paragraphs_and_examples(spark, tmp_path):
+    from inkveil.__main__ import main
+    from inkveil.operators import engine, scoring, spans
+
+    texts = ["Mr. Rohan Mehta came.", "write to jane.roe@example.org", "nothing here"]
+    records = [{"index": 0, "anchor": "Mr. Rohan", "stratum": "a", "entities": [{"type": "PERSON", "text": "Rohan  Mehta"}]}, {"index": 1, "anchor": "write", "stratum": "a", "entities": [{"type": "EMAIL", "text": "jane.roe@example.org"}, {"type": "PERSON", "text": "write"}]}, {"index": 2, "anchor": "", "stratum": "b", "entities": []}]
+    (tmp_path / "gold.json").write_text(json.dumps({"records": records}))
+    read = scoring.read_labels(spark, str(tmp_path / "gold.json"))
+    segments = spark.createDataFrame(list(enumerate(texts)), "index int, text string")
+    gold = scoring.locate(scoring.with_paragraphs(read, segments))
+    assert {r.id: [e.text for e in r.entities] for r in gold.collect()} == {"0": ["Rohan Mehta"], "1": ["write", "jane.roe@example.org"], "2": []}
+    for bad in (segments.where("index < 2"), segments.withColumn("text", F.upper("text"))):
+        with pytest.raises(Exception, match="record"):
+            scoring.with_paragraphs(read, bad).collect()
+    whole = "\n\n".join(texts)
+    found = [(s[0], s[1], s[2]) for s in engine.analyze(whole, Settings())]
+    starts = spans.segment_starts(segments.withColumn("doc", F.lit(0)), "doc", "index")
+    pred = scoring.of_paragraphs(spark.createDataFrame(found, "type string, start int, end int"), read, starts)
+    by = {r.id: [(e.type, e.start, e.end) for e in r.entities] for r in pred.collect()}
+    assert by == {"0": [("PERSON", 4, 15)], "1": [("EMAIL", 9, 29)], "2": []}
+    with_text = engine.detect(gold.select("id", "text")).select("id", "entities")
+    assert {r.type: (r.missed, r.spurious) for r in scoring.examples(gold, with_text).collect()} == {"PERSON": (["write"], [])}
+    (tmp_path / "own.json").write_text(json.dumps({"records": [{"id": "x", "stratum": "a", "text": texts[1], "entities": [{"type": "EMAIL", "text": "jane.roe@example.org"}]}]}))
+    assert main(["evaluate", str(tmp_path / "own.json"), "-o", str(tmp_path / "results.json")]) == 0
+    out = json.loads((tmp_path / "results.json").read_text())
+    assert out["suites"]["own.json"]["strict"][0]["tp"] == 1 and "types" in out["config"]
+
+
+def test_counts_by_recognizer(spark):
+    from inkveil.operators import engine
+
+    found = engine.detect(spark.createDataFrame([("a@b.com a@b.com c@d.org +91 20 45053237",)], "text string"))
+    assert sorted(map(tuple, engine.by_recognizer(found).collect())) == [("EMAIL", "email", 3, 2, 0.75), ("PHONE", "phone", 1, 1, 0.25)]
+
+
+def test_form_and_multipart():
+    from inkveil import service
+
+    server = service.serve(port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        page = urllib.request.urlopen(base + "/")
+        assert b"<form" in page.read() and page.headers["Content-Type"].startswith("text/html")
+        body = b'--xx\r\nContent-Disposition: form-data; name="seed"\r\n\r\nabc\r\n--xx\r\nContent-Disposition: form-data; name="file"; filename="a.txt"\r\nContent-Type: text/plain\r\n\r\nmail jane.roe@example.org\r\n--xx--\r\n'
+        ask = lambda b: urllib.request.urlopen(urllib.request.Request(base + "/redact", b, {"Content-Type": "multipart/form-data; boundary=xx"}))
+        got = ask(body)
+        assert b"jane.roe" not in got.read() and got.headers["X-PII-Entities-Redacted"] == "1"
+        for bad, status in ((body.replace(b'name="file"', b'name="other"'), 422), (body.replace(b"a.txt", b"a.exe"), 415)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                ask(bad)
+            assert e.value.code == status
+    finally:
+        server.shutdown()
+
+
+def test_command_line_flags():
+    from inkveil.__main__ import parser
+
+    a = parser().parse_args(["redact", "x.txt", "-o", "out", "--no-propagation", "--redact-public", "-v"])
+    assert a.no_propagation and a.redact_public and a.verbose
