@@ -146,13 +146,14 @@ class Rule(NamedTuple):
 RULES = (
     Rule("EMAIL", "email", 0.99, r"(?<![{w}%+-])(?<![{w}%+-]\.)[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}(?![{w}])", "@"),
     Rule("URL", "url", 0.90, r"(?<![@{w}])(?i:https?://|www\.)[A-Za-z0-9.-]{1,253}?\. ?(?i:co\.in|com|net|org|in|io|gov|edu|biz|info)(?![{w}])(?:/[^\s\"'<>]*)?", "(?i:http|www)"),
+    Rule("IP_ADDRESS", "ip_address", 0.95, r"(?<![:{w}])(?:[A-Fa-f0-9]{1,4}:){2,7}[A-Fa-f0-9]{1,4}(?![:{w}])", ":[A-Fa-f0-9]{1,4}:"),
     Rule("PHONE", "phone", 0.95, r"(?<![{w}+])\+\s?\d{1,3}(?:[\s.-]{0,2}\(?\d{2,10}\)?){1,5}(?!\d)", r"\+", test=digits(8, 15), exempt=False, wrapped=True),
     Rule(
         "PHONE",
         "phone",
         0.90,
         r"(?<![{w}])(?i:tel(?:ephone)?|phone|mob(?:ile)?|fax|contact\s+(?:no|number)|helpline|landline)\.?\s*(?i:no\.?|number)?\s*[:–-]?\s*(\+?\d[\d\s().-]{7,20}\d)",
-        "(?i:tel|phone|mob|fax|contact|helpline|landline)",
+        r"\d[\d\s().-]{7,20}\d",
         1,
         digits(8, 15),
         False,
@@ -171,11 +172,10 @@ RULES = (
     Rule("SSN", "ssn_labelled", 0.90, rf"(?<![{{w}}])(?i:ssn|social\s+security(?:\s+(?:number|no\.?))?)\s*(?i:is)?\s*[:#-]?\s*({AREA}[\s-]?(?!00)\d{{2}}[\s-]?(?!0000)\d{{4}})(?![{{w}}])", r"(?i:ssn|social\s+security)", 1),
     Rule("AADHAAR", "aadhaar", 0.93, r"(?<![\d.,-])[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}(?![\d-])(?![.,]\d)", r"\d{4}[\s-]?\d{4}[\s-]?\d{4}", test=VERHOEFF | near(60, 20, "aadhaar", "aadhar", "uid")),
     Rule("PAN", "pan", 0.92, r"(?<![{w}])[A-Z]{3}[ABCFGHLJPTK][A-Z]\d{4}[A-Z](?![{w}])", r"[A-Z]{5}\d{4}"),
-    Rule("DIN", "din", 0.90, r"(?<![{w}])(?i:din|director\s+identification\s+number)\s*(?i:no\.?)?\s*[:#–-]?\s*(\d{6,8})(?![{w}])", "(?i:din|director)", 1),
-    Rule("DIN", "din_designation", 0.75, r"(?<![{w}])(?i:chairman|chairperson|director)\s*(\d{6,8}(?:[ \t]*\n(?!\s*\n)[ \t]*\d{1,2})?)(?!\d)", "(?i:chair|director)", 1),
+    Rule("DIN", "din", 0.90, r"(?<![{w}])(?i:din|director\s+identification\s+number)\s*(?i:no\.?)?\s*[:#–-]?\s*(\d{6,8})(?![{w}])", r"\d{6}", 1),
+    Rule("DIN", "din_designation", 0.75, r"(?<![{w}])(?i:chairman|chairperson|director)\s*(\d{6,8}(?:[ \t]*\n(?!\s*\n)[ \t]*\d{1,2})?)(?!\d)", r"\d{6}", 1),
     Rule("PASSPORT", "passport", 0.88, r"(?<![{w}])(?i:passport)\s*(?i:no\.?|number)?\s*[:#–-]?\s*([A-PR-WYa-pr-wy]\s?\d{7})(?![{w}])", "(?i:passport)", 1),
     Rule("IP_ADDRESS", "ip_address", 0.95, rf"(?<![{{w}}.])(?:{OCTET}\.){{3}}{OCTET}(?!\d)(?!\.\d)", r"\d\.\d", test=~near(24, 0, *VERSION) & (near(60, 25, *NETWORK) | LOCAL | WIDE)),
-    Rule("IP_ADDRESS", "ip_address", 0.95, r"(?<![:{w}])(?:[A-Fa-f0-9]{1,4}:){2,7}[A-Fa-f0-9]{1,4}(?![:{w}])", ":[A-Fa-f0-9]{1,4}:"),
     Rule(
         "DATE_OF_BIRTH",
         "date_of_birth",
@@ -253,5 +253,6 @@ def _of_rule(r: Rule, text: Column, settings: Settings) -> Column:
 
 def candidates(text: Column, settings: Settings) -> Column:
     """array<ENTITY>: the same for a text column; empty for null. A span of a type may be there more than once."""
-    rules = [_of_rule(r, text, settings) for r in _enabled(settings)]
-    return F.concat(*rules) if rules else F.array().cast(f"array<{ENTITY}>")
+    none, enabled = F.array().cast(f"array<{ENTITY}>"), _enabled(settings)
+    some, other = ([_of_rule(r, text, settings) for r in enabled if (r.type in ("EMAIL", "URL") or r.guard.startswith(":")) is free] for free in (True, False))
+    return F.concat(none, *some, F.when(text.rlike("[0-9]"), F.concat(none, *other)).otherwise(none))  # all others need a digit
