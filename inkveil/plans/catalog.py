@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import keyed
 from inkveil.operators import engine, patterns, policy, scoring, spans
-from inkveil.operators.surrogates import DOC_NETS
+from inkveil.operators import surrogates as fakes
+from inkveil.operators.spread import mentions
 from inkveil.settings import PRIORITY, Settings
 from inkveil.sources import blocks
 
@@ -112,6 +113,13 @@ def bucketed_spans(spark, sf_dir):
     return spans.bucket(marks, starts, "conv_id").select("conv_id", "turn", "start", "end")
 
 
+def dictionary_mentions(spark, sf_dir):
+    """Where documents have the first two, and the first four, words of benchmark items, as a dictionary join."""
+    first = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    forms = _t(spark, sf_dir, "benchmark").select(F.explode(F.array(F.slice(first, 1, 2), F.slice(first, 1, 4))).alias("w")).select(F.array_join("w", " ").alias("form"), F.concat(F.lit("words"), F.size("w").cast("string")).alias("type")).distinct()
+    return mentions(_documents(spark, sf_dir), forms)
+
+
 def _event_spans(spark, sf_dir, *more):
     e = _t(spark, sf_dir, "events")
     return e.select("user_id", *more, (F.col("event_id") * 7919 % 5000).alias("start"), (F.col("event_id") * 7919 % 5000 + 1 + F.col("event_id") * 31 % 40).alias("end"))
@@ -190,7 +198,7 @@ def anti_joined_benchmark(spark, sf_dir):
     return items.join(found, "item_id", "left_anti").select("item_id", F.length("text").alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (redact_documents, detect_entities, counts_by_type, surrogate_mapping, surrogate_numbers, entities_by_recognizer, kept_domains, redact_conversations, email_spans, luhn_numbers, verhoeff_numbers, hmac_draws, segment_starts, bucketed_spans, merged_islands, deduped_spans, resolved_spans, url_hosts, context_tokens, clean_blocks, strict_scores, partial_scores, identifiers_by_quality, at_signs_rollup, top_documents, anti_joined_benchmark)}
+QUERIES = {f.__name__: f for f in (redact_documents, detect_entities, counts_by_type, surrogate_mapping, surrogate_numbers, entities_by_recognizer, kept_domains, redact_conversations, dictionary_mentions, email_spans, luhn_numbers, verhoeff_numbers, hmac_draws, segment_starts, bucketed_spans, merged_islands, deduped_spans, resolved_spans, url_hosts, context_tokens, clean_blocks, strict_scores, partial_scores, identifiers_by_quality, at_signs_rollup, top_documents, anti_joined_benchmark)}
 
 _INNER, _OUTER = keyed.pads("catalog")
 _EVENTS = "SELECT user_id, event_id * 7919 % 5000 AS s, event_id * 7919 % 5000 + 1 + event_id * 31 % 40 AS e FROM events"
@@ -212,7 +220,12 @@ _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _bare = lambda v: f"regexp_replace({v}, '[^0-9]', '', 'g')"
 _LUHN = lambda d: f"list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 0 THEN substr({d}, i, 1)::INT ELSE (2 * substr({d}, i, 1)::INT) // 10 + (2 * substr({d}, i, 1)::INT) % 10 END)) % 10"
 _cue = lambda before, after, cues: "(" + " OR ".join(f"contains(lower(substr(text, greatest(s - {before}, 0) + 1, s + {after} - greatest(s - {before}, 0))), '{c}')" for c in cues) + ")"
-#: Entities of four kinds, found by other means than the engine's: runs are cut out and then tested, and the best of overlapping ones stay.
+_MOVED = [patterns._moved(d, i) for i in range(8) for d in range(10)]
+_PRODUCT = [patterns._dihedral(a, b) for a in range(10) for b in range(10)]
+_VERHOEFF = lambda d: f"list_reduce([0] || list_transform(range(0, length({d})::BIGINT), lambda i: ({_MOVED})[(i % 8) * 10 + substr({d}, length({d}) - i, 1)::INT + 1]), lambda c, d: ({_PRODUCT})[c * 10 + d + 1]) = 0"
+_AMERICAN = r"(?:^|[^A-Za-z0-9_-])((?:\([0-9]{3}\)\s?|[0-9]{3}[-.\s])[0-9]{3}[-.\s][0-9]{4})"
+_TWELVE = r"(?:^|[^0-9.,-])([2-9][0-9]{3}[\s-]?[0-9]{4}[\s-]?[0-9]{4})"
+#: Entities of five kinds, found by other means than the engine's: runs are cut out and then tested, and the best of overlapping ones stay.
 _ENTITIES = f"""
 docs AS (SELECT doc_id AS d, text FROM documents WHERE text IS NOT NULL),
 mails AS (SELECT d, s, v, 'EMAIL' AS type, 'email' AS recognizer, 0.99 AS score FROM ({_found(_MAIL)})),
@@ -221,12 +234,15 @@ calls AS (SELECT d, s, v, 'PHONE' AS type, 'phone' AS recognizer, 0.95 AS score
   WHERE length({_bare("v")}) BETWEEN 8 AND 15),
 cards AS (SELECT d, s, v, 'CREDIT_CARD' AS type, 'credit_card' AS recognizer, 0.95 AS score FROM ({_found(_CARD, 1)})
   WHERE NOT regexp_matches(substr(text, (s + length(v) + 1)::BIGINT, 2), '^([0-9]|[.,][0-9])') AND length({_bare("v")}) BETWEEN 13 AND 19 AND {_LUHN(_bare("v"))} = 0),
+american AS (SELECT d, s, v, 'PHONE' AS type, 'phone' AS recognizer, 0.75 AS score FROM ({_found(_AMERICAN, 1)}) WHERE NOT regexp_matches(substr(text, (s + length(v) + 1)::BIGINT, 1), '[A-Za-z0-9_-]')),
+twelve AS (SELECT d, s, v, 'AADHAAR' AS type, 'aadhaar' AS recognizer, 0.93 AS score FROM ({_found(_TWELVE, 1)})
+  WHERE NOT regexp_matches(substr(text, (s + length(v) + 1)::BIGINT, 2), '^([0-9-]|[.,][0-9])') AND ({_VERHOEFF(_bare("v"))} OR {_cue(60, 20, ("aadhaar", "aadhar", "uid"))})),
 quads AS (SELECT d, text, s, rtrim(v, '.') AS v FROM ({_found("[0-9.]+")})
   WHERE regexp_full_match(rtrim(v, '.'), '({_OCTET}[.]){{3}}{_OCTET}') AND NOT regexp_matches(substr(text, s::BIGINT, 1), '[A-Za-z0-9_]') OR s = 0),
 hosts AS (SELECT d, s, v, 'IP_ADDRESS' AS type, 'ip_address' AS recognizer, 0.95 AS score FROM quads
   WHERE regexp_full_match(v, '({_OCTET}[.]){{3}}{_OCTET}') AND NOT {_cue(24, 0, patterns.VERSION)}
     AND ({_cue(60, 25, patterns.NETWORK)} OR regexp_matches(v, '^(10|127|192[.]168|172[.](1[6-9]|2[0-9]|3[01]))[.]') OR len(list_filter(string_split(v, '.'), lambda o: o::INT > 31)) >= 2)),
-bag AS (SELECT *, s + length(v) AS e, CASE type {" ".join(f"WHEN '{k}' THEN {n}" for k, n in PRIORITY.items())} END AS p FROM (FROM mails UNION ALL FROM calls UNION ALL FROM cards UNION ALL FROM hosts)),
+bag AS (SELECT *, s + length(v) AS e, CASE type {" ".join(f"WHEN '{k}' THEN {n}" for k, n in PRIORITY.items())} END AS p FROM (FROM mails UNION ALL FROM calls UNION ALL FROM cards UNION ALL FROM american UNION ALL FROM twelve UNION ALL FROM hosts)),
 entities AS (SELECT d, s, e, v, type, recognizer, score FROM bag a WHERE NOT EXISTS (
   SELECT 1 FROM bag b WHERE a.d = b.d AND a.s < b.e AND b.s < a.e AND (b.p, b.e - b.s, b.score, -b.s) > (a.p, a.e - a.s, a.score, -a.s)))"""
 _flat = "regexp_replace(trim(v), '\\s+', ' ', 'g')"
@@ -237,11 +253,31 @@ def _word(key: str, k: int) -> str:
     return f"('0x' || substr(sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode({key} || '|{k // 8}')))), {1 + 8 * (k % 8)}, 8))::BIGINT"
 
 
-_CARD_KEY = "'CREDIT_CARD|' || o"
-_BODY = "substr(n, 1, 1) || " + " || ".join(f"CASE WHEN length(n) > {k + 1} THEN ({_word(_CARD_KEY, k)} % 10)::VARCHAR ELSE '' END" for k in range(1, 18))
-_LAID = "list_aggregate(list_transform(range(1, length(o) + 1), lambda i: CASE WHEN regexp_matches(substr(o, i, 1), '[0-9]') THEN substr(w, length(regexp_replace(substr(o, 1, i), '[^0-9]', '', 'g')), 1) ELSE substr(o, i, 1) END), 'string_agg', '')"
-_MOVED = [patterns._moved(d, i) for i in range(8) for d in range(10)]
-_PRODUCT = [patterns._dihedral(a, b) for a in range(10) for b in range(10)]
+_COUNTRY = fakes.COUNTRY.pattern
+_laid = lambda new: f"list_aggregate(list_transform(range(1, length(o) + 1), lambda i: CASE WHEN regexp_matches(substr(o, i, 1), '[0-9]') THEN substr({new}, length(regexp_replace(substr(o, 1, i), '[^0-9]', '', 'g')), 1) ELSE substr(o, i, 1) END), 'string_agg', '')"
+_pick = lambda pool, key, k: f"({list(pool)})[({_word(key, k)} % {len(pool)} + 1)::INT]"
+_SLUG = lambda v: f"lower({_pick(fakes.HEADS, f"'ORGANIZATION|' || {v}", 0)} || {_pick(fakes.TAILS, f"'ORGANIZATION|' || {v}", 1)})"
+_digit = lambda key, k: f"({_word(key, k)} % 10)::VARCHAR"
+_BODY = "substr(n, 1, 1) || " + " || ".join(f"CASE WHEN length(n) > {k + 1} THEN {_digit("'CREDIT_CARD|' || o", k)} ELSE '' END" for k in range(1, 18))
+_CALLED = " || ".join(f"CASE WHEN {k} >= length(n) THEN '' WHEN {k} < length(c) THEN substr(n, {k + 1}, 1) WHEN {k} = length(c) THEN ({_word("'PHONE|' || lower(o)", k)} % 9 + 1)::VARCHAR ELSE {_digit("'PHONE|' || lower(o)", k)} END" for k in range(15))
+_AADHAAR = f"({_word("'AADHAAR|' || o", 0)} % 8 + 2)::VARCHAR || " + " || ".join(_digit("'AADHAAR|' || o", k) for k in range(1, 11))
+#: Surrogates of values (type, o): the formats filled in SQL.
+_NEW = f"""
+o AS (SELECT DISTINCT type, {_flat} AS o FROM entities),
+card AS (SELECT o, b || ((10 - {_LUHN("(b || '0')")}) % 10)::BIGINT AS w FROM (SELECT o, {_BODY} AS b FROM (SELECT o, {_bare("o")} AS n FROM o WHERE type = 'CREDIT_CARD'))),
+twelve_new AS (SELECT o, b || list_filter(range(0, 10), lambda k: {_VERHOEFF("(b || k)")})[1] AS w FROM (SELECT o, {_AADHAAR} AS b FROM o WHERE type = 'AADHAAR')),
+call AS (SELECT o, {_CALLED} AS w FROM (SELECT o, {_bare("o")} AS n, CASE WHEN regexp_matches(o, '^[( ]*\\+') THEN regexp_extract({_bare("o")}, '^({_COUNTRY})', 1) ELSE '' END AS c FROM o WHERE type = 'PHONE')),
+part AS (SELECT o, i, f, regexp_replace(lower(f), '[0-9]+$', '') AS w FROM (SELECT o, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS f FROM (SELECT o, string_split(split_part(o, '@', 1), '.') AS p FROM o WHERE type = 'EMAIL'))),
+local AS (SELECT o, string_agg(CASE WHEN length(w) >= 3 AND regexp_full_match(w, '[a-z]+') AND len(list_filter({sorted(fakes.ROLES)}, lambda r: w = r OR length(r) >= 4 AND contains(w, r))) = 0
+  THEN {_SLUG("w")} ELSE lower(f) END, '.' ORDER BY i) AS l FROM part GROUP BY o),
+mail AS (SELECT o, l || '@' || {_SLUG("lower(split_part(o, '@', 2))")} || '.example.com' AS w FROM local),
+new AS (
+  SELECT 'CREDIT_CARD' AS type, o, {_laid("w")} AS w FROM card UNION ALL SELECT 'PHONE', o, {_laid("w")} FROM call UNION ALL SELECT 'AADHAAR', o, {_laid("w")} FROM twelve_new UNION ALL SELECT 'EMAIL', o, w FROM mail UNION ALL
+  SELECT 'IP_ADDRESS', o, {_pick(fakes.DOC_NETS, "'IP_ADDRESS|' || o", 0)} || ({_word("'IP_ADDRESS|' || o", 1)} % 254 + 1) FROM o WHERE type = 'IP_ADDRESS'),
+piece AS (SELECT d, s, e, substr(text, (coalesce(lag(e) OVER (PARTITION BY d ORDER BY s), 0) + 1)::BIGINT, (s - coalesce(lag(e) OVER (PARTITION BY d ORDER BY s), 0))::BIGINT) || w AS x
+  FROM (SELECT entities.*, {_flat} AS o FROM entities) JOIN new USING (type, o) JOIN docs USING (d)),
+done AS (SELECT d, count(*) AS n, string_agg(x, '' ORDER BY s) || substr(any_value(text), (max(e) + 1)::BIGINT) AS redacted FROM piece JOIN docs USING (d) GROUP BY d)"""
+_TURNS = "docs AS (SELECT conv_id AS d, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
 _SIDES = """
 g AS (SELECT user_id AS id, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS type, event_id * 100 AS s FROM events WHERE event_id % 5 < 3),
 p AS (SELECT user_id AS id, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS type, event_id * 100 + event_id % 3 * 3 AS s FROM events WHERE event_id % 5 > 0)"""
@@ -257,15 +293,20 @@ SQL = {
     "entities_by_recognizer": f"WITH {_ENTITIES} SELECT type, recognizer, count(*) AS n, count(DISTINCT v) AS distinct_values FROM entities GROUP BY ALL",
     "kept_domains": f"""WITH {_ENTITIES}, known AS (SELECT DISTINCT lower(v) AS v FROM mails WHERE lower(v) < 'm' ORDER BY 1 LIMIT 5)
       SELECT mails.v AS text, count(*) AS n FROM mails LEFT JOIN known ON lower(mails.v) = known.v WHERE known.v IS NULL GROUP BY 1""",
-    "surrogate_numbers": f"""
-      WITH {_ENTITIES}, o AS (SELECT DISTINCT type, {_flat} AS o FROM bag a WHERE type IN ('CREDIT_CARD', 'IP_ADDRESS')),
-      n AS (SELECT o, {_bare("o")} AS n FROM o WHERE type = 'CREDIT_CARD'), b AS (SELECT o, {_BODY} AS b FROM n),
-      w AS (SELECT o, b || ((10 - {_LUHN("(b || '0')")}) % 10)::BIGINT AS w FROM b)
-      SELECT 'CREDIT_CARD' AS type, o AS original, {_LAID} AS surrogate FROM w UNION ALL
-      SELECT 'IP_ADDRESS', o, ({list(DOC_NETS)})[({_word("'IP_ADDRESS|' || o", 0)} % 3 + 1)::INT] || ({_word("'IP_ADDRESS|' || o", 1)} % 254 + 1) FROM o WHERE type = 'IP_ADDRESS'""",
+    "surrogate_numbers": f"WITH {_ENTITIES}, {_NEW.replace('FROM entities),', "FROM bag WHERE type IN ('CREDIT_CARD', 'IP_ADDRESS')),", 1)} SELECT type, o AS original, w AS surrogate FROM new",
+    "surrogate_mapping": f"WITH {_ENTITIES}, {_NEW} SELECT type, o AS original, w AS surrogate FROM new",
+    "redact_documents": f"WITH {_ENTITIES}, {_NEW} SELECT d AS doc_id, n::INT AS n_entities, redacted FROM done",
+    "redact_conversations": f"""WITH {_ENTITIES.replace("docs AS (SELECT doc_id AS d, text FROM documents WHERE text IS NOT NULL)", _TURNS)}, {_NEW}
+      SELECT d AS conv_id, coalesce(n, 0)::INT AS n_entities, coalesce(redacted, text) AS redacted FROM docs LEFT JOIN done USING (d)""",
+    "dictionary_mentions": """
+      WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS a FROM documents),
+      b AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS a FROM benchmark),
+      f AS (SELECT DISTINCT array_to_string(a[:n], ' ') AS form, n FROM b, (VALUES (2), (4)) AS k(n)),
+      g AS (SELECT doc_id, n, array_to_string(a[i : i + n - 1], ' ') AS form FROM (SELECT doc_id, a, n, unnest(range(1, len(a) - n + 2)) AS i FROM w, (VALUES (2), (4)) AS k(n)))
+      SELECT doc_id, form, 'words' || n AS type, count(*) AS n FROM g JOIN f USING (form, n) GROUP BY ALL""",
     "verhoeff_numbers": f"""
       WITH x AS (SELECT (200000000000 + l_orderkey * 1000 + l_linenumber)::VARCHAR AS number, count(*) AS n FROM lineitem GROUP BY 1)
-      SELECT number, n, list_reduce([0] || list_transform(range(0, 12), lambda i: ({_MOVED})[(i % 8) * 10 + substr(number, 12 - i, 1)::INT + 1]), lambda c, d: ({_PRODUCT})[c * 10 + d + 1]) = 0 AS valid FROM x""",
+      SELECT number, n, {_VERHOEFF("number")} AS valid FROM x""",
     "resolved_spans": """
       WITH RECURSIVE x AS (SELECT user_id, event_id * 7919 % 5000 AS s, event_id * 7919 % 5000 + 1 + event_id * 31 % 40 AS e,
         row_number() OVER (PARTITION BY user_id ORDER BY event_id * 31 % 40 * 1000000 + event_id % 1000000 DESC, event_id * 7919 % 5000) AS r FROM events),
