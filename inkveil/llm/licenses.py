@@ -2,8 +2,8 @@
 
 Licence templates (full texts of short licences, notices of long ones) are cut into sentences and words. The document frequency of
 every template word is counted over the whole corpus, and each sentence is indexed by its words of highest IDF: a posting says at
-which place of which sentence a word stands. Where a sentence has the template's key phrase, half of its indexed words come from
-that. A file's rare licence words are looked up with their places; a lookup votes for (sentence, place in the file less place in
+which place of which sentence a word stands. Words that more than a twentieth of all files (and ten) have are not rare. Where a sentence
+has the template's key phrase, half of its indexed words come from that, rare or not. A file's rare licence words are looked up with their places; a lookup votes for (sentence, place in the file less place in
 the sentence), so words that stand apart as in the sentence vote alike. A sentence with enough votes for one place makes its template a
 candidate, and that counts if its mandatory key phrase stands in the file too.
 
@@ -11,7 +11,7 @@ Base labels come from four phrases by themselves; the method's labels are added
 postings that agree on a place, of templates that count, and 1 where a base phrase stands.
 
 Cases: null and empty text has no words, no labels and score 0; a null doc_id stays null; rows that repeat a doc_id stay rows;
-long files are read whole, in time near linear in their words; an empty table gives an empty result; other columns are ignored.
+long files are read whole, in time linear in their words (votes: n log n); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.functions.arrays import let, running
+from inkveil.functions.arrays import let
 from inkveil.llm.common import corpus, doc_id
 from inkveil.llm.license_texts import TEMPLATES
 
@@ -33,6 +33,7 @@ GAP = rf"[^{WORD}]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 RARE = 4  # indexed words of a sentence
 AGREE = 0.5  # share of its postings that must agree on a place
+COMMON = 20  # words of more than a COMMON-th of all files, and ten, are not rare
 SHIFT = 1 << 40
 
 
@@ -45,7 +46,6 @@ def _alone(body: str) -> str:
 
 
 BASE_RX = _alone("|".join(map(phrase, BASE)))
-WORD_RX = rf"[{WORD}]+"
 Templates = dict[str, tuple[str, str]]
 
 
@@ -66,15 +66,19 @@ def sentences(templates: Templates = TEMPLATES) -> list[tuple[str, list[str], li
     return out
 
 
+def words_column(text: Column) -> Column:
+    """The words, with an empty one in front if the text begins with none, and at the end likewise."""
+    return F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), GAP)
+
+
 def document_frequency(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     """(word, n): documents that have the template word; as many rows as there are template words at most."""
     known = sorted({w for _, s, _ in sentences(templates) for w in s})
-    words = F.split(F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), GAP)
-    own = F.array_distinct(F.filter(words, lambda w: w.isin(known)))
+    own = F.array_distinct(F.filter(words_column(F.col("text").cast("string")), lambda w: w.isin(known)))
     return docs.where(F.col("text").isNotNull()).select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def index(frequency: dict[str, int], templates: Templates = TEMPLATES) -> tuple[list[tuple[str, int, int]], dict[str, list[tuple[int, int]]]]:
+def index(frequency: dict[str, int], n_docs: int, templates: Templates = TEMPLATES) -> tuple[list[tuple[str, int, int]], dict[str, list[tuple[int, int]]]]:
     """The sentences' labels, numbers of postings and of votes needed, and the postings word -> (sentence, place).
 
     The least frequent words have the highest IDF; words that no file has come last, and ties go by the word. A sentence that has its key
@@ -83,7 +87,8 @@ def index(frequency: dict[str, int], templates: Templates = TEMPLATES) -> tuple[
     known, postings = [], {}
     for t, (label, words, key) in enumerate(sentences(templates)):
         own = sorted(set(key), key=rarity)[: math.ceil(RARE * AGREE)]
-        rare = own + sorted(set(words) - set(own), key=rarity)[: RARE - len(own)]
+        other = [w for w in set(words) - set(own) if COMMON * (frequency.get(w, 0) - 10) <= n_docs]
+        rare = own + sorted(other, key=rarity)[: RARE - len(own)]
         places = [(w, at) for at, w in enumerate(words) if w in rare]
         known.append((label, len(places), min(len(own) or RARE, max(1, math.ceil(len(places) * AGREE)))))
         for w, at in places:
@@ -93,13 +98,26 @@ def index(frequency: dict[str, int], templates: Templates = TEMPLATES) -> tuple[
 
 def licenses(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    known, postings = index({r.word: r.n for r in document_frequency(docs, templates).collect()}, templates)
+    known, postings = index({r.word: r.n for r in document_frequency(docs, templates).collect()}, docs.count(), templates)
     d = docs.select(doc_id().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    count = lambda c: F.regexp_count(c, F.lit(WORD_RX)).cast("long")
     text = F.col("text")
 
-    # Base phrases.
-    d = d.select("doc_id", "text", count(text).alias("n_words"), F.regexp_extract_all("text", F.lit(BASE_RX), F.lit(0)).alias("base"))
+    # One pass over the words leaves the rare ones, and the first words of base phrases, with their places.
+    starts = sorted({p.split()[0] for p in BASE})
+    wanted = sorted({*postings, *starts})
+
+    def of_words(words: Column) -> Column:
+        skip = F.when(F.get(words, F.lit(0)) == "", 1).otherwise(0)
+        end = F.when((F.size(words) > 1) & (F.element_at(words, -1) == ""), 1).otherwise(0)
+        hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(wanted), F.struct(w.alias("w"), (i - skip).alias("at")))))
+        return F.struct((F.size(words) - skip - end).cast("long").alias("n"), hits.alias("hits"))
+
+    d = d.withColumn("seen", let(words_column(text), of_words)).select("doc_id", "text", F.col("seen.n").alias("n_words"), F.col("seen.hits").alias("hits"))
+
+    # Base phrases: a start, and the words behind it.
+    count = lambda c: F.regexp_count(c, F.lit(rf"[{WORD}]+")).cast("long")
+    maybe = F.exists("hits", lambda h: h["w"].isin(starts))
+    d = d.withColumn("base", F.when(maybe, F.regexp_extract_all("text", F.lit(BASE_RX), F.lit(0))).otherwise(F.array().cast("array<string>")))
     has = F.size("base") > 0
     pieces = F.split("text", BASE_RX, -1)
     first = F.when(has, count(F.get(pieces, F.lit(0))))
@@ -112,20 +130,12 @@ def licenses(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
         return out
 
     base_labels = F.array_sort(F.array_distinct(F.transform("base", named)))
-    d = d.select("doc_id", "text", "n_words", F.size("base").cast("long").alias("n_base"), first.alias("first_word"), last.alias("last_word"), base_labels.alias("own"))
+    d = d.select("doc_id", "text", "n_words", "hits", F.size("base").cast("long").alias("n_base"), first.alias("first_word"), last.alias("last_word"), base_labels.alias("own"))
 
     # Votes of rare words.
-    rare = rf"(?i)(?<![{WORD}])(?:{'|'.join(sorted(postings))})(?![{WORD}])"
     table_ = F.create_map(*(x for w, own in sorted(postings.items()) for x in (F.lit(w), F.array(*(F.lit(t * SHIFT - at + SHIFT // 2) for t, at in own)))))
-    none = F.array().cast("array<bigint>")
-
-    def votes(hits: Column) -> Column:
-        """A hit's place is the number of words before it."""
-        before = F.transform(F.slice(F.split(text, rare, -1), F.lit(1), F.size(hits)), lambda g: count(g) + 1)
-        places = lambda ends: F.flatten(F.transform(hits, lambda w, i: F.transform(F.element_at(table_, F.lower(w)), lambda p: p + F.get(ends, i) - 1)))
-        return F.when(F.size(hits) > 0, let(running(before), places)).otherwise(none)
-
-    d = d.select("*", F.sort_array(let(F.regexp_extract_all("text", F.lit(rare), F.lit(0)), votes)).alias("votes"))
+    rare = F.filter("hits", lambda h: h["w"].isin(sorted(postings)))
+    d = d.withColumn("votes", F.sort_array(F.flatten(F.transform(rare, lambda h: F.transform(F.element_at(table_, h["w"]), lambda p: p + h["at"])))))
     most = max(n for _, n, _ in known)
     need, total = F.array(*(F.lit(n) for *_, n in known)), F.array(*(F.lit(n) for _, n, _ in known))
     label = F.array(*(F.lit(name) for name, *_ in known))
@@ -183,7 +193,7 @@ frequency AS (SELECT w, count(DISTINCT d) AS n FROM words WHERE w IN (SELECT w F
 ranked AS (SELECT DISTINCT t, template.w, coalesce(n, 0) AS n FROM template LEFT JOIN frequency USING (w)),
 own AS (SELECT t, w FROM ranked JOIN keyword USING (t, w) QUALIFY row_number() OVER (PARTITION BY t ORDER BY n = 0, n, w) <= {half}),
 owned AS (SELECT t, count(*) AS k FROM own GROUP BY t),
-others AS (SELECT t, w FROM ranked LEFT JOIN owned USING (t) ANTI JOIN own USING (t, w)
+others AS (SELECT t, w FROM ranked LEFT JOIN owned USING (t) ANTI JOIN own USING (t, w) WHERE {COMMON} * (n - 10) <= (SELECT count(*) FROM docs)
            QUALIFY row_number() OVER (PARTITION BY t ORDER BY n = 0, n, w) <= {RARE} - coalesce(k, 0)),
 posting AS (SELECT t, w, pos FROM template JOIN (SELECT t, w FROM own UNION ALL SELECT t, w FROM others) USING (t, w)),
 needed AS (SELECT t, total, least(coalesce(k, {RARE}), greatest(1, ceil(total * {AGREE}))) AS need FROM (SELECT t, count(*) AS total FROM posting GROUP BY t) LEFT JOIN owned USING (t)),

@@ -343,7 +343,7 @@ def _licenses(texts):
     for w in words:
         for x in set(w):
             frequency[x] = frequency.get(x, 0) + 1
-    known, postings = licenses.index(frequency)
+    known, postings = licenses.index(frequency, len(texts))
     out = []
     for w in words:
         votes = {}
