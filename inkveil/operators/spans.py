@@ -37,8 +37,20 @@ def segment_starts(segments: DataFrame, doc: str, order: str, text: str = "text"
 
 
 def bucket(entities: DataFrame, starts: DataFrame, doc: str, text: str = "text", straddle: str = "drop") -> DataFrame:
-    """Document spans as spans of the segment that they begin in; those that leave it are dropped or clipped."""
-    s = starts.select(doc, F.col("start").alias("seg_start"), (F.col("start") + F.length(text)).alias("seg_end"), *[c for c in starts.columns if c not in (doc, "start", text)])
-    joined = entities.join(s, doc).where("start >= seg_start and start < seg_end")
-    joined = joined.where("end <= seg_end") if straddle == "drop" else joined.withColumn("end", F.least("end", "seg_end"))
-    return joined.withColumn("start", F.col("start") - F.col("seg_start")).withColumn("end", F.col("end") - F.col("seg_start")).drop("seg_start", "seg_end")
+    """Document spans as spans of the segment that they begin in; those that leave it are dropped or clipped, as are those that begin
+    between segments.
+
+    An as-of join in one sort: segments and spans stand in one sequence by position, and a span takes the last segment before it."""
+    more = [c for c in starts.columns if c not in (doc, "start", text)]
+    segment = F.struct(F.col("start").cast("long").alias("from"), (F.col("start") + F.length(text)).cast("long").alias("to"), *more)
+    segments = starts.select(doc, F.col("start").cast("long").alias("at"), F.lit(0).alias("is_span"), segment.alias("segment"))
+    spans_ = entities.select(doc, F.col("start").cast("long").alias("at"), F.lit(1).alias("is_span"), F.struct(*(c for c in entities.columns if c != doc)).alias("span"))
+    both = segments.unionByName(spans_, allowMissingColumns=True)
+    before = Window.partitionBy(doc).orderBy("at", "is_span").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("segment", F.last("segment", ignorenulls=True).over(before)).where("is_span = 1 and at < segment.to")
+    if straddle == "drop":
+        placed = placed.where("span.end <= segment.to")
+    kind = entities.schema["start"].dataType
+    rows = placed.select(doc, "span.*", F.col("segment.from").alias("seg_from"), F.col("segment.to").alias("seg_to"), *(F.col(f"segment.{c}").alias(c) for c in more))
+    moved = {"start": F.col("start") - F.col("seg_from"), "end": F.least("end", "seg_to") - F.col("seg_from")}
+    return rows.withColumns({c: x.cast(kind) for c, x in moved.items()}).drop("seg_from", "seg_to")
