@@ -1,7 +1,7 @@
 """Document fingerprints of closed syncmers, in DataFrame and SQL functions only.
 
 A text is cut into tokens: runs of non-blanks of up to 16 characters, single characters of scripts that are written without blanks,
-and pieces of longer runs that end behind one of the characters CUT (or after 64). So what a token is depends on the characters
+and of longer runs pieces that end behind one of the characters CUT (or after 64), up to the last 16 characters. So what a token is depends on the characters
 around it, not on how far the text's or run's start is. Of every run of 4 tokens (a k-mer), the 3 inner runs of 2 tokens (s-mers)
 are hashed; the k-mer is an anchor if its least s-mer lies at an edge, that is unless the middle one is strictly the least. That
 depends on the k-mer alone, so equal passages have equal anchors wherever they stand.
@@ -26,11 +26,12 @@ from inkveil.functions.arrays import let
 from inkveil.llm.common import Scratch, corpus, doc_id, least_hashes
 
 K, S = 4, 2
-#: Scripts written without blanks between words.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-RUN = rf"[^\s{UNSPACED}]"
+#: Characters of scripts written without blanks between words: Thai and Lao, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3FFFF}"
+#: All others but ASCII blanks, as ranges, which are quicker to test than a complement.
+RUN = r"[\x21-෿\x00-\x08\x0E-\x1Fༀ-࿿Ⴀ-᝿᠀-〿㄀-㏿䷀-䷿ꀀ-ﬀ-￿\x{10000}-\x{1FFFF}\x{40000}-\x{10FFFF}]"
 CUT = "aeimquyAEIMQUY048/=,;.(){}<>"
-TOKEN = rf"[{UNSPACED}]|(?<!{RUN}){RUN}{{1,16}}+(?!{RUN})|{RUN}{{0,63}}?[{CUT}]|{RUN}{{1,64}}"
+TOKEN = rf"{RUN}{{1,16}}+(?!{RUN})|[{UNSPACED}]|{RUN}{{0,63}}?[{CUT}]|{RUN}{{1,64}}"
 DOCS_PER_BUCKET = 256
 MOST_BUCKETS = 1 << 15
 
@@ -48,10 +49,8 @@ def anchors(text: Column) -> Column:
 
         def of_smers(s: Column) -> Column:
             def pick(x: Column, i: Column) -> Column:
-                return let(
-                    F.struct(F.get(s, i + 1).alias("mid"), F.get(s, i + 2).alias("end")),
-                    lambda m: F.when(~((m["mid"] < x) & (m["mid"] < m["end"])), F.struct(_anchor(F.xxhash64(x, m["end"])).alias("h"), i.alias("at"))),
-                )
+                mid, end = F.get(s, i + 1), F.get(s, i + 2)
+                return F.when((mid >= x) | (mid >= end), F.struct(_anchor(F.xxhash64(x, end)).alias("h"), i.alias("at")))
 
             return F.array_compact(F.transform(F.slice(s, 1, F.size(s) - (K - S)), pick))
 
@@ -72,7 +71,7 @@ def fingerprint(a: Column) -> Column:
 
 def steps(a: Column) -> Column:
     """array<int>: a hash of each anchor with its gap and the anchor before."""
-    return F.transform(a, lambda x, i: F.when(i == 0, x["h"]).otherwise(let(F.get(a, i - 1), lambda p: _anchor(F.xxhash64(p["h"], x["at"] - p["at"], x["h"])))))
+    return F.transform(a, lambda x, i: F.when(i == 0, x["h"]).otherwise(_anchor(F.xxhash64(F.get(a, i - 1)["h"], x["at"] - F.get(a, i - 1)["at"], x["h"]))))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -387,7 +387,7 @@ def _xx(*values):
 def _anchors(text):
     import regex
 
-    tokens = regex.findall(re.sub(r"\\p\{Is(\w+)\}", r"\\p{\1}", syncmers.TOKEN).replace(r"\s", r"\x09-\x0D\x20"), text or "")
+    tokens = regex.findall(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), syncmers.TOKEN), text or "")
     out = []
     if len(tokens) >= 4:
         h = [_xx((t, "s")) for t in tokens]
@@ -667,6 +667,10 @@ def test_empty_tables_of_two(docs, labels, benchmark):
     assert quality.classify(none, labels).count() == 0 and decontam.decontaminate(none, benchmark).count() == 0
     assert decontam.decontaminate(docs, benchmark.where(F.lit(False))).where("contaminated").count() == 0
     assert quality.classify(docs, labels.where(F.lit(False))).where("score <> 0.5").count() == 0
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/").alias("url"), F.col("text").alias("html"), F.lit("x").alias("host"), F.lit(1).alias("n"), F.lit("y").alias("p0"))
+    assert langid.identify(pages.where(F.lit(False)), docs).count() == 0
+    assert [r.lang for r in langid.identify(pages, none).collect()] == [None] * len(TEXTS)
+    assert [r.lang for r in langid.identify(pages, docs).collect()] == ["en"] * len(TEXTS)
 
 
 def test_keep_one_on_a_thousand_rows(spark):
