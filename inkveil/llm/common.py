@@ -76,10 +76,11 @@ class Scratch:
         out.seen, out._scratch_path = watch.get, at
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that keep() wrote and nothing will read again."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that keep() wrote and nothing will read again."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, factor: int = 4) -> DataFrame:

@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 WORDS, BANDS, ROWS = 8, 16, 3
 TABLE, SLICE = 1 << 20, 1 << 20  # low bits of a hash; hashes met at once
-BLOCK_FPS, BLOCK_HASHES = 1 << 13, 1 << 21  # of two such blocks a task holds at once: fingerprints, hashes of sets
+BLOCK_FPS, BLOCK_HASHES = 1 << 13, 1 << 18  # of two such blocks a task holds at once: fingerprints, hashes of sets
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -547,13 +547,15 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     near = scratch.keep(_radius_links(join_spread(edges, by_lead, ["lead"]), radius))
     joined = components(near.select(F.col("s").alias("a"), F.col("lead").alias("b")), scratch)
     marked = scratch.keep(_labelled(members.select("k", "s"), joined))
+    scratch.drop(lead, members, by_lead)
     mixed = scratch.keep(marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("k", "n"))
-    clusters = members.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0)
+    clusters = near.select(F.col("s").alias("a"), F.col("lead").alias("b")).limit(0)
     if mixed.seen["rows"]:
         todo = scratch.keep(join_spread(marked, mixed, ["k"]).select(F.col("k").alias("g"), "label", "s", F.lit(1).alias("w")))
         tasks = _blocks(todo, BLOCK_FPS, scratch).join(fps, "s").select("g", "t", F.col("label").alias("id"), "fp")
         clusters = _bucket_links(tasks, ["g", "t"], radius)  # between labels
     clusters = components(clusters, scratch)
+    scratch.drop(marked)
 
     ends = clusters.select(F.col("id").alias("label"), F.col("component").alias("g"))
     ends = ends.unionByName(ends.select(F.col("g").alias("label"), "g").distinct())
@@ -562,11 +564,14 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     cluster = linked.join(ends, "label", "full").select(F.coalesce("s", "label").alias("s"), F.coalesce("g", "label").alias("g"))
     cluster = scratch.keep(cluster)
     sets = scratch.keep(_sets(texts, sets_.select("s", "id", "h").join(cluster.select("s"), "s"), width))
+    scratch.drop(sets_)
     sure = scratch.keep(_verified(near, sets, similarity, scratch))
+    scratch.drop(near)
     exact = components(sure, scratch)
     open_ = scratch.keep(_labelled(cluster, exact).join(sets.groupBy("s").agg(F.max("m").alias("w")), "s").select("g", "label", "s", "w"))
     tasks = _blocks(open_, BLOCK_HASHES, scratch)
     more = components(_block_links(tasks, sets, similarity) if tasks is not None else sure.limit(0), scratch)  # between labels of exact
+    scratch.drop(sets, open_, sure)
     by_set = _labelled(rows.groupBy("s").agg(F.count("*").alias("n")), exact).drop("component").withColumnRenamed("label", "set_label")
     by_set = scratch.keep(_labelled(by_set, more, "set_label").select("s", "n", F.col("label").alias("component")))
     return join_spread(rows.select("id", "h", "s"), by_set, ["s"]).select("id", "h", "component")
