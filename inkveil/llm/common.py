@@ -103,7 +103,9 @@ def join_spread(rows: DataFrame, by_key: DataFrame, keys: list[str], how: str =
     over as many tasks, and their row of by_key is repeated for each."""
     least = max(100, int((seen or by_key.seen)["sum_n"] or 0) // SHARE)
     heavy = F.broadcast(by_key.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts")))
-    dealt = rows.join(heavy, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    other = [c for c in rows.columns if c not in keys]  # a row's part follows from its values, so a task that runs again deals alike
+    part = F.pmod(F.xxhash64(*other), F.col("_parts")).cast("int") if other else F.lit(0)
+    dealt = rows.join(heavy, keys, "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts")
     again = by_key.drop("n").join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(again, [*keys, "_part"], how).drop("_part")
 
