@@ -102,8 +102,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, spans): what the current rule versions found in each blob that they found anything in, by start, then rule, then end."""
     kept = F.filter("spans", lambda s: F.concat_ws("@", s["kind"], s["version"].cast("string")).isin([r.mark for r in rules]))
-    rows = ledger.select("blob", kept.alias("spans")).where(F.size("spans") > 0)
-    return rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))  # a row for each scan of the blob
+    rows = ledger.select("blob", "scanned", kept.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["blob", "scanned"])  # of scans at the same time
+    return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row for each scan of the blob
 
 
 class Ledger:
