@@ -60,8 +60,9 @@ def verhoeff_digit(body: str) -> str:
 
 
 def verhoeff_ok(digits: Column) -> Column:
-    moved = F.array(*(F.lit(_moved(d, i)) for i in range(8) for d in range(10)))
-    product = F.array(*(F.lit(_dihedral(a, b)) for a in range(10) for b in range(10)))
+    table = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # noqa: E731  folded to a literal
+    moved = table(_moved(d, i) for i in range(8) for d in range(10))
+    product = table(_dihedral(a, b) for a in range(10) for b in range(10))
     steps = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.get(moved, (i % 8) * 10 + c.cast("int")))
     return F.aggregate(steps, F.lit(0), lambda c, d: F.get(product, c * 10 + d)) == 0
 
@@ -100,7 +101,7 @@ def near(before: int, after: int, *cues: str) -> Test:
     def column(v: Column, at: Column, t: Column) -> Column:
         start = F.greatest(at - before, F.lit(0))
         window = F.lower(F.substring(t, start + 1, at + after - start))
-        return let(window, lambda w: F.exists(F.array(*map(F.lit, cues)), lambda c: w.contains(c)))
+        return let(window, lambda w: F.exists(F.split(F.lit("|".join(cues)), "[|]"), lambda c: w.contains(c)))
 
     def python(v: str, at: int, t: str) -> bool:
         window = t[max(0, at - before) : at + after].lower()
