@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,22 @@ def features(text: bytes | None, piece: int = 1 << 20) -> np.ndarray:
     return np.log1p(out)
 
 
+def _leading(gram: np.ndarray, dims: int, more: int = 80, rounds: int = 300, near: float = 1e-6) -> np.ndarray:
+    """The first eigenvectors of a symmetric matrix, as rows, by subspace iteration until none is off by more than `near` of the greatest
+    eigenvalue. It holds a few columns beside the matrix, where eigh() takes ten times the matrix; that is asked if this doesn't settle."""
+    q = np.random.default_rng(0).standard_normal((len(gram), min(len(gram), dims + more)))
+    for _ in range(rounds):
+        q = np.linalg.qr(q)[0]
+        z = np.concatenate([gram[at : at + BLOCK].astype(np.float64) @ q for at in range(0, len(gram), BLOCK)])
+        values, turn = np.linalg.eigh(q.T @ z)
+        first = turn[:, ::-1][:, :dims]
+        top, image = values[::-1][:dims], z @ first
+        if np.linalg.norm(image - q @ first * top, axis=0).max() <= near * abs(top).max():
+            return (q @ first).T
+        q = z
+    return np.linalg.eigh(gram)[1].T[::-1][:dims]
+
+
 class Model:
     def __init__(self, x: np.ndarray, y: np.ndarray, dims: int, neighbours: int, power: float):
         self.neighbours, self.power = neighbours, power
@@ -74,12 +91,22 @@ class Model:
         self.y = y.astype(np.float32)
         if not len(y):
             return
-        self.weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-        x = x * self.weight
-        self.mean = x.mean(axis=0)
-        _, _, v = np.linalg.svd(x - self.mean, full_matrices=False) if len(x) < x.shape[1] else (None, None, np.linalg.eigh((x - self.mean).T @ (x - self.mean))[1].T[::-1])
+        blocks = [slice(at, at + BLOCK) for at in range(0, len(x), BLOCK)]  # whole copies of x would fill the driver
+        self.weight = np.log((1 + len(x)) / (1 + sum((x[b] > 0).sum(axis=0) for b in blocks))).astype(np.float32) + np.float32(0.1)
+        self.mean = (sum((x[b] * self.weight).sum(axis=0, dtype=np.float64) for b in blocks) / len(x)).astype(np.float32)
+        centred = lambda b: x[b] * self.weight - self.mean
+        if len(x) < x.shape[1]:
+            v = np.linalg.svd(np.concatenate([centred(b) for b in blocks]), full_matrices=False)[2]
+        else:
+            gram = np.zeros((x.shape[1], x.shape[1]), np.float32)
+            for b in blocks:
+                c = centred(b)
+                gram += c.T @ c
+            v = _leading(gram, dims)
+            del gram
         self.basis = np.ascontiguousarray(v[:dims].T, np.float32)
-        self.vectors = np.ascontiguousarray(self._unit((x - self.mean) @ self.basis).T)
+        del v
+        self.vectors = np.ascontiguousarray(np.concatenate([self._unit(centred(b) @ self.basis) for b in blocks]).T)
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
@@ -132,10 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096, dims: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").cast("binary").alias("_text")).join(chosen, F.col("_doc") == F.col("_id"))
     got = rows.select("_id", "_y", "_text").mapInArrow(run, "id long, y int, x binary").toArrow()
-    got = got.sort_by([("id", "ascending"), ("x", "ascending")])
-    got = got.take(np.unique(got["id"].to_numpy(), return_index=True)[1]) if got.num_rows else got  # one row of each id
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, 2 * BUCKETS).astype(np.float32)
-    return Model(x, got["y"].to_numpy().astype(np.int64), dims, neighbours, power)
+    order = pc.sort_indices(got, [("id", "ascending"), ("x", "ascending")]).to_numpy()
+    order = order[np.unique(got["id"].to_numpy()[order], return_index=True)[1]]  # one row of each id
+    x, y = np.empty((len(order), 2 * BUCKETS), np.float16), got["y"].to_numpy()[order].astype(np.int64)
+    for i, at in enumerate(order.tolist()):
+        x[i] = np.frombuffer(got["x"][at].as_py(), np.float16)
+    del got
+    return Model(x, y, dims, neighbours, power)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

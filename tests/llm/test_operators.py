@@ -255,6 +255,32 @@ def test_quality_ties_go_to_the_first():
     assert [sorted(r) for r in quality.Model._nearest(cos, 2).tolist()] == [[0, 1], [3, 4], [0, 1]]
 
 
+def test_quality_fit_spares_the_driver():
+    """Of 4096 rows: no whole copies of them, no work arrays of a dense solver; the same votes as those give."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from inkveil.llm import quality
+rng = np.random.default_rng(1)
+y = rng.integers(0, 2, 4096)
+x = (rng.random((4096, 60)) @ rng.random((60, 2048)) * rng.random(2048) / 20 + rng.random((4096, 2048)) / 50 + y[:, None] * rng.random(2048) / 9).astype(np.float16)
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+quality.Model(x[:2], y[:2], 2, 1, 4.0)
+x = x.copy()
+before = peak()
+m = quality.Model(x, y, 20, 25, 4.0)
+grew = peak() - before
+c = x * m.weight - m.mean
+v = np.linalg.svd(c, full_matrices=False)[2][:20]
+print(grew, np.linalg.svd(v @ m.basis)[1].min())
+"""
+    grew, least = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert grew < 100 and least > 0.999
+
+
 def test_quality_scores_all(docs, labels):
     rows = quality.classify(docs, labels).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
